@@ -70,10 +70,13 @@ def clean_name(column: Column) -> Column:
     """
     text = F.regexp_replace(trimmed(column), f"[{SPACE}]+", " ")
     for short, full in NAME_EXPANSIONS:
+        # The first character is matched before its surroundings are looked at, which is much
+        # cheaper than a look-behind at every position of a long text.
+        first, rest = short[0], short[1:]
         if short == "&":
-            pattern = f"(?<=[{WORD}])&(?=[{WORD}])"
+            pattern = f"&(?<=[{WORD}]&)(?=[{WORD}])"
         else:
-            pattern = f"(?<![{WORD}]){short}(?![{WORD}])"
+            pattern = f"{first}(?<![{WORD}]{first}){rest}(?![{WORD}])"
         text = F.regexp_replace(text, pattern, full)
     text = F.regexp_replace(text, rf"[^{WORD}{SPACE}\-.,()]", "")
     return F.when(~text.isin("NAN", ""), text)
