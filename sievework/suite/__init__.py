@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "checks")
+MODULES = ("cleaning", "checks", "anomalies")
 
 
 def load_all():
