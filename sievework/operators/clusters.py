@@ -94,42 +94,60 @@ class Clustering:
         dense = self.points.join(self.cells.filter("dense").select("cx", "cy"), ["cx", "cy"], "left_semi")
         return dense.select("x", "y", "cx", "cy").unionByName(self.thin.filter("core").select("x", "y", "cx", "cy"))
 
-    def linked_cells(self) -> tuple[DataFrame, DataFrame]:
-        """Cells with core points, and the pairs of them joined by two core points within eps.
+    def cluster_count(self) -> int:
+        """Groups of cells joined by two core points within eps. Collects one number.
 
-        Pairs are decided on bounding boxes: near enough as a whole, too far as a whole, or near enough
-        at the outermost points.  Undecided boxes are quartered, for the undecided pairs only; a pair
-        splits into at most 16, and a box with one point is always decided.
+        Pairs of cells are decided on bounding boxes: near enough as a whole, too far as a whole, or
+        near enough at the outermost points.  Pairs that stay open and are not in one group already are
+        quartered; a pair splits into at most 16, and boxes with one point each are always decided.
         """
+        if not self.enough:
+            return 0
         core = settle(self.core_points())
         boxes = self._boxes(core, 0)
-        nodes = boxes.select(F.struct("bx", "by").alias("cell"))
+        labels = settle(boxes.select(F.struct("bx", "by").alias("cell"))).select("cell", F.col("cell").alias("label"))
         offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in HALF_AROUND])
-        pairs = boxes.select("bx", "by", F.inline(offsets)).select(
-            F.struct("bx", "by").alias("a"), F.struct((F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by")).alias("b")
-        )
-        pairs = pairs.join(nodes.withColumnRenamed("cell", "b"), "b", "left_semi").select(
-            F.col("a").alias("root_a"), F.col("b").alias("root_b"), "a", "b"
-        )
-        links: list[DataFrame] = []
+        here, there = F.struct("bx", "by"), F.struct((F.col("bx") + F.col("dx")).alias("bx"), (F.col("by") + F.col("dy")).alias("by"))
+        pairs = boxes.select("bx", "by", F.inline(offsets)).select(here.alias("a"), there.alias("b"))
+        pairs = pairs.select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), "a", "b")
         level = 0
         while True:
             judged = settle(self._judge(pairs, self._boxes(core, level)))
-            linked = judged.filter("linked").select("root_a", "root_b").distinct()
-            links.append(linked)
-            left = judged.filter("not linked").join(linked, ["root_a", "root_b"], "left_anti").select("root_a", "root_b", "a", "b")
+            labels = self._grouped(labels, judged.filter("linked").select("root_a", "root_b").distinct())
+            side = lambda root, name: labels.select(F.col("cell").alias(root), F.col("label").alias(name))
+            left = judged.filter("not linked").join(side("root_a", "_la"), "root_a").join(side("root_b", "_lb"), "root_b")
+            left = settle(left.filter("_la != _lb").select("root_a", "root_b", "a", "b"))
             if left.isEmpty():
-                break
+                return labels.select("label").distinct().count()
             level += 1
             wanted = left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "parent")
-            parent = lambda: F.struct(F.floor(F.col("bx") / 2).alias("bx"), F.floor(F.col("by") / 2).alias("by"))
-            children = self._boxes(core, level).select(F.struct("bx", "by").alias("child"), parent().alias("parent")).join(wanted, "parent", "left_semi")
+            parent = F.struct(F.floor(F.col("bx") / 2).alias("bx"), F.floor(F.col("by") / 2).alias("by"))
+            children = self._boxes(core, level).select(F.struct("bx", "by").alias("child"), parent.alias("parent")).join(wanted, "parent", "left_semi")
             pairs = (
                 left.join(children.select(F.col("parent").alias("a"), F.col("child").alias("child_a")), "a")
                 .join(children.select(F.col("parent").alias("b"), F.col("child").alias("child_b")), "b")
                 .select("root_a", "root_b", F.col("child_a").alias("a"), F.col("child_b").alias("b"))
             )
-        return settle(nodes), settle(reduce(DataFrame.unionByName, links).distinct())
+
+    def _grouped(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Give linked cells the smallest label of their group.
+
+        Every round takes the smallest label around and then the label of that label, so the labels
+        of long chains close in by halves.
+        """
+        # Links join groups, so they are drawn between the cells the groups are named after.
+        group = lambda root, name: labels.select(F.col("cell").alias(root), F.col("label").alias(name))
+        edges = links.join(group("root_a", "src"), "root_a").join(group("root_b", "dst"), "root_b").filter("src != dst").select("src", "dst").distinct()
+        edges = settle(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        while True:
+            around = edges.join(labels.select(F.col("cell").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("_near"))
+            stepped = labels.join(around, labels["cell"] == around["src"], "left").select("cell", "label", F.least("label", F.coalesce("_near", "label")).alias("_next"))
+            jump = stepped.select(F.col("cell").alias("_next"), F.col("_next").alias("_jump"))
+            best = F.least("_next", "_jump")
+            moved = settle(stepped.join(jump, "_next", "left").select("cell", best.alias("label"), (F.col("label") != best).alias("changed")))
+            labels = moved.select("cell", "label")
+            if moved.filter("changed").isEmpty():
+                return labels
 
     def _boxes(self, core: DataFrame, level: int) -> DataFrame:
         """Bounding box and outermost points of the core points per cell of side / 2^level."""
@@ -162,24 +180,6 @@ class Clustering:
         linked = (farthest <= square) | reduce(or_, rims)
         return sided.filter(nearest <= square).select("root_a", "root_b", "a", "b", linked.alias("linked"))
 
-    def cluster_count(self) -> int:
-        """Connected groups of cells with core points. Collects one number."""
-        if not self.enough:
-            return 0
-        nodes, links = self.linked_cells()
-        edges = links.select(F.col("root_a").alias("src"), F.col("root_b").alias("dst"))
-        edges = settle(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-        labels = nodes.select("cell", F.col("cell").alias("label"))
-        while True:
-            # Take the smallest label around, then the label of that label: long chains halve.
-            around = edges.join(labels.select(F.col("cell").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("_near"))
-            stepped = labels.join(around, labels["cell"] == around["src"], "left").select("cell", "label", F.least("label", F.coalesce("_near", "label")).alias("_next"))
-            jump = stepped.select(F.col("cell").alias("_next"), F.col("_next").alias("_jump"))
-            moved = settle(stepped.join(jump, "_next", "left").select("cell", (F.col("label") != F.least("_next", "_jump")).alias("changed"), F.least("_next", "_jump").alias("label")))
-            labels = moved.select("cell", "label")
-            if moved.filter("changed").isEmpty():
-                return labels.select("label").distinct().count()
-
     def summary(self, with_clusters: bool = True) -> DataFrame:
         total = self.df.agg(F.count(F.lit(1)).alias("total_count"))
         noise = self.noise_rows([]).agg(F.count(F.lit(1))).scalar()

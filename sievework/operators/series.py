@@ -32,6 +32,10 @@ def _filled(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     return df.select(*columns).filter(F.col(value).isNotNull())
 
 
+def _array_sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+
+
 def spike_scores(
     df: DataFrame, keys: list[str], order: list[str], value: str, leave_one_out: bool = False, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
@@ -45,27 +49,24 @@ def spike_scores(
     half = SPIKE_POINTS // 2
     rows = bucketed(placed, longest, half, half, bucket_rows)
     near = neighbours(F.col(value).cast("double"), series_window(keys), -half, half)
-    rows = rows.withColumns({f"_v{d + half}": c for d, c in near.items()})
-    size = F.least(F.lit(SPIKE_POINTS), F.floor(F.col("series_rows") / 3))
+    # Steps that later ones use several times become columns, so that no expression is repeated.
+    rows = rows.withColumns({f"_v{d + half}": c for d, c in near.items()}).filter("at_home")
+    rows = rows.withColumn("_size", F.least(F.lit(SPIKE_POINTS), F.floor(F.col("series_rows") / 3)))
+    rows = rows.withColumn("_forward", F.floor((F.col("_size") - 1) / 2))
     # An even window reaches one point further back than forward.
-    forward = F.floor((size - 1) / 2)
-    back = size - 1 - forward
-    complete = (F.col("position") - back >= 0) & (F.col("position") + forward <= F.col("series_rows") - 1)
-    members: dict[int, Column] = {}
-    for d in range(-half, half + 1):
-        inside = (F.lit(d) >= -back) & (F.lit(d) <= forward)
-        if leave_one_out:
-            inside &= F.lit(d != 0)
-        members[d] = inside
-    count = reduce(add, [m.cast("int") for m in members.values()])
-    total = reduce(add, [F.when(m, F.col(f"_v{d + half}")).otherwise(0.0) for d, m in members.items()])
-    mean = F.try_divide(total, count)
-    rows = rows.filter("at_home").withColumns({"_mean": mean, "_count": count, "_complete": complete})
-    squares = reduce(add, [F.when(m, F.pow(F.col(f"_v{d + half}") - F.col("_mean"), 2)).otherwise(0.0) for d, m in members.items()])
-    spread = F.sqrt(F.try_divide(squares, F.col("_count") - 1))
-    score = F.when(F.col("_complete") & (F.col("series_rows") >= 3) & (spread > 0), (F.col(value) - F.col("_mean")) / spread)
+    rows = rows.withColumn("_back", F.col("_size") - 1 - F.col("_forward"))
+    members = []
+    for d in near:
+        inside = F.lit(False) if leave_one_out and d == 0 else F.col("_back") >= -d if d < 0 else F.col("_forward") >= d
+        members.append(F.when(inside, F.col(f"_v{d + half}")))
+    rows = rows.withColumn("_window", F.array_compact(F.array(*members)))
+    rows = rows.withColumn("_mean", F.try_divide(_array_sum(F.col("_window")), F.size("_window")))
+    squares = _array_sum(F.transform("_window", lambda v: F.pow(v - F.col("_mean"), 2)))
+    rows = rows.withColumn("_spread", F.sqrt(F.try_divide(squares, F.size("_window") - 1)))
+    complete = (F.col("position") >= F.col("_back")) & (F.col("position") + F.col("_forward") < F.col("series_rows"))
+    judged = complete & (F.col("series_rows") >= 3) & (F.col("_spread") > 0)
     columns = list(dict.fromkeys([*keys, *order, value]))
-    return rows.select(*columns, "position", "series_rows", score.alias("z_score"))
+    return rows.select(*columns, "position", "series_rows", F.when(judged, (F.col(value) - F.col("_mean")) / F.col("_spread")).alias("z_score"))
 
 
 def spikes(df: DataFrame, keys: list[str], order: list[str], value: str, leave_one_out: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -82,28 +83,34 @@ def trend_scores(df: DataFrame, keys: list[str], order: list[str], value: str, b
     rows = bucketed(placed, longest, TREND_HALF, TREND_HALF, bucket_rows)
     near = neighbours(F.col(value).cast("double"), series_window(keys), -TREND_HALF, TREND_HALF - 1)
     rows = rows.withColumns({f"_v{d + TREND_HALF}": c for d, c in near.items()}).filter("at_home")
-    half = F.least(F.lit(TREND_HALF), F.floor(F.col("series_rows") / 2))
-    inside = {d: (half >= (-d if d < 0 else d + 1)) for d in range(-TREND_HALF, TREND_HALF)}
-    taken = {d: F.when(m, F.col(f"_v{d + TREND_HALF}")) for d, m in inside.items()}
+    rows = rows.withColumn("_half", F.least(F.lit(TREND_HALF), F.floor(F.col("series_rows") / 2)))
+    rows = rows.withColumns(
+        {f"_v{d + TREND_HALF}": F.when(F.col("_half") >= (-d if d < 0 else d + 1), F.col(f"_v{d + TREND_HALF}")) for d in near}
+    )
+    window = {d: F.col(f"_v{d + TREND_HALF}") for d in near}
     rows = rows.withColumns(
         {
-            "_half": half,
-            "_mean": reduce(add, [F.coalesce(v, F.lit(0.0)) for v in taken.values()]) / (2 * half),
-            "_low": F.least(*taken.values()),
-            "_high": F.greatest(*taken.values()),
+            "_mean": reduce(add, [F.coalesce(v, F.lit(0.0)) for v in window.values()]) / (2 * F.col("_half")),
+            "_low": F.least(*window.values()),
+            "_high": F.greatest(*window.values()),
         }
     )
     # Positions are centred on i - 1/2, so no large numbers are subtracted from each other.
-    cross = reduce(add, [F.coalesce((F.lit(d) + 0.5) * (v - F.col("_mean")), F.lit(0.0)) for d, v in taken.items()])
-    squares = reduce(add, [F.coalesce(F.pow(v - F.col("_mean"), 2), F.lit(0.0)) for v in taken.values()])
-    time_squares = reduce(add, [F.when(m, F.pow(F.lit(d) + 0.5, 2)).otherwise(0.0) for d, m in inside.items()])
+    rows = rows.withColumns(
+        {
+            "_cross": reduce(add, [F.coalesce((v - F.col("_mean")) * (d + 0.5), F.lit(0.0)) for d, v in window.items()]),
+            "_squares": reduce(add, [F.coalesce(F.pow(v - F.col("_mean"), 2), F.lit(0.0)) for v in window.values()]),
+        }
+    )
     judged = (
         (F.col("series_rows") >= 6)
         & (F.col("position") >= F.col("_half"))
         & (F.col("position") < F.col("series_rows") - F.col("_half"))
         & (F.col("_high") > F.col("_low"))
     )
-    ratio = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cross, F.sqrt(time_squares * squares))))
+    # Sum of (d + 1/2)^2 over 2w centred positions is w (4 w^2 - 1) / 6.
+    time_squares = F.col("_half") * (4 * F.col("_half") * F.col("_half") - 1) / 6.0
+    ratio = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("_cross"), F.sqrt(time_squares * F.col("_squares")))))
     columns = list(dict.fromkeys([*keys, *order, value]))
     rows = rows.select(*columns, "position", "series_rows", "bucket", F.when(judged, ratio).alias("correlation"))
     earlier = series_window(keys).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import anomalies, detectors, outliers, series
 from sievework.operators.clusters import Clustering
+from sievework.session import settle
 from sievework.suite.frames import EMISSIONS, FACILITIES, cte
 from sievework.suite.registry import frame, query, rounded, table
 
@@ -285,7 +286,7 @@ def zero_emission_rows(spark, sf):
 def anomalies_of(spark, sf):
     columns = ("facility_id", "latitude", "longitude", "measurement_year", "annual_emission_amount", "violation_count", "inspection_count", "penalty_amount", "compliance_status")
     rows = frame(spark, sf, FACILITIES).select(*columns)
-    return anomalies.all_anomalies(rows, ["facility_id"], numeric=["annual_emission_amount", "penalty_amount"])
+    return settle(anomalies.all_anomalies(rows, ["facility_id"], numeric=["annual_emission_amount", "penalty_amount"]))
 
 
 @query("all_anomalies")
