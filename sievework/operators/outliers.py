@@ -47,10 +47,10 @@ def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, float]
     return {c: {m: row[f"{m}{i}"] for m in measures} for i, c in enumerate(columns)}
 
 
-def z_score_tests(df: DataFrame, columns: Sequence[str]) -> list[Test]:
+def _z_scores(known: dict[str, dict[str, float]]) -> list[Test]:
     """|x - mean| / population deviation above 3; needs three values and some spread."""
     tests = []
-    for name, s in moments(df, columns).items():
+    for name, s in known.items():
         if s["n"] < 3 or not s["std"]:
             continue
         score = F.abs((_finite(name) - s["mean"]) / s["std"])
@@ -59,11 +59,9 @@ def z_score_tests(df: DataFrame, columns: Sequence[str]) -> list[Test]:
     return tests
 
 
-def iqr_tests(df: DataFrame, columns: Sequence[str], exact_rows: int = EXACT_ROWS) -> list[Test]:
+def _quartile_ranges(known: dict[str, dict[str, float]], quartiles: dict[str, list]) -> list[Test]:
     """Outside the quartiles by more than 1.5 interquartile ranges; needs four values."""
     tests = []
-    known = moments(df, columns)
-    quartiles = exact_quantiles(df, {c: _finite(c) for c in columns}, [0.25, 0.75], exact_rows)
     for name, s in known.items():
         if s["n"] < 4:
             continue
@@ -78,12 +76,11 @@ def iqr_tests(df: DataFrame, columns: Sequence[str], exact_rows: int = EXACT_ROW
     return tests
 
 
-def modified_z_tests(df: DataFrame, columns: Sequence[str], exact_rows: int = EXACT_ROWS) -> list[Test]:
+def _modified_z_scores(df: DataFrame, known: dict[str, dict[str, float]], medians: dict[str, float], exact_rows: int) -> list[Test]:
     """0.6745 |x - median| / MAD above 3.5; needs three values and a MAD that is not 0."""
-    known = moments(df, columns)
-    medians = {c: q[0] for c, q in exact_quantiles(df, {c: _finite(c) for c in columns}, [0.5], exact_rows).items()}
     wanted = {c: F.abs(_finite(c) - m) for c, m in medians.items() if m is not None}
-    deviations = exact_quantiles(df, wanted, [0.5], exact_rows) if wanted else {}
+    rows = {c: known[c]["n"] for c in wanted}
+    deviations = exact_quantiles(df, wanted, [0.5], exact_rows, rows) if wanted else {}
     tests = []
     for name, (mad,) in deviations.items():
         s, mid = known[name], medians[name]
@@ -96,13 +93,21 @@ def modified_z_tests(df: DataFrame, columns: Sequence[str], exact_rows: int = EX
 
 
 def outlier_tests(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS, exact_rows: int = EXACT_ROWS) -> list[Test]:
-    tests: list[Test] = []
-    if "z_score" in methods:
-        tests += z_score_tests(df, columns)
+    """Tests of all methods on all columns.
+
+    The methods share their passes: one for the moments, one search for quartiles and medians
+    together, one for the median deviations.
+    """
+    known = moments(df, columns)
+    tests = _z_scores(known) if "z_score" in methods else []
+    points = [p for p, method in ((0.25, "iqr"), (0.5, "modified_z_score"), (0.75, "iqr")) if method in methods]
+    if not points:
+        return tests
+    found = exact_quantiles(df, {c: _finite(c) for c in columns}, points, exact_rows, {c: known[c]["n"] for c in columns})
     if "iqr" in methods:
-        tests += iqr_tests(df, columns, exact_rows)
+        tests += _quartile_ranges(known, {c: [q[0], q[-1]] for c, q in found.items()})
     if "modified_z_score" in methods:
-        tests += modified_z_tests(df, columns, exact_rows)
+        tests += _modified_z_scores(df, known, {c: q[points.index(0.5)] for c, q in found.items()}, exact_rows)
     return tests
 
 

@@ -43,10 +43,15 @@ class _Search:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], exact_rows: int = EXACT_ROWS
+    df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], exact_rows: int = EXACT_ROWS,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation; nulls are ignored. Collects one small row per step."""
-    counts = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first()
+    """Quantiles with linear interpolation; nulls are ignored. Collects one small row per step.
+
+    ``counts`` are the numbers of non-null values; callers that know them save a pass.
+    """
+    if counts is None:
+        counts = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first().asDict()
     short = {n: c for n, c in columns.items() if 0 < counts[n] <= exact_rows}
     long = {n: c for n, c in columns.items() if counts[n] > exact_rows}
     result: dict[str, list[float | None]] = {n: [None] * len(probabilities) for n in columns}

@@ -15,6 +15,7 @@ from sievework.operators import findings as finding
 from sievework.operators import outliers, rulebook, rules, scores
 from sievework.operators.anomalies import all_anomalies
 from sievework.operators.quantiles import EXACT_ROWS
+from sievework.session import settle
 
 TRANSFORM_OUTLIER_COLUMNS = 3
 
@@ -35,10 +36,13 @@ def run_stage(
 
     extract: required fields and types.  transform: business and cross-field rules, outliers of three
     numeric columns.  load: all rules and the compliance detectors.  Any other stage: everything.
+
+    Results are kept as soon as they are computed (a row per check), so that findings, statistics,
+    gate and reports made from them do not scan the data again.
     """
     label = f"{dataset}_{stage.lower()}" if stage.lower() in ("extract", "transform", "load") else dataset
     book = [*rulebook.stage_rules(df.columns, table, stage, as_of), *extra_rules]
-    results = rules.evaluate(df, book) if book else None
+    results = settle(rules.evaluate(df, book)) if book else None
     anomalies = None
     if stage.lower() == "transform":
         numeric = scores.numeric_columns(df)[:TRANSFORM_OUTLIER_COLUMNS]
@@ -49,6 +53,8 @@ def run_stage(
         anomalies = rowwise.summarise(df, checks) if checks else None
     elif stage.lower() != "extract":
         anomalies = all_anomalies(df, tie, exact_rows=exact_rows)
+    if anomalies is not None:
+        anomalies = settle(anomalies)
     listed = [finding.rule_findings(results, label, as_of, batch_id)] if results is not None else []
     if anomalies is not None:
         listed.append(finding.anomaly_findings(anomalies, label, as_of, batch_id))

@@ -57,7 +57,7 @@ def with_keys(df: DataFrame, table: CoreTable, tables: Tables) -> DataFrame:
             if key in parents.columns and column in parents.columns:
                 df = resolve(df, parents, key, column, order=[column])
                 continue
-        df = df.withColumn(column, F.lit(None).cast("bigint"))
+        df = df.withColumn(column, F.lit(None).cast("string"))
     return df.withColumn(table.primary_key, stable_key(*(natural or df.columns)))
 
 
@@ -67,7 +67,7 @@ def load_core(tables: Tables, target: str, batch_id: int, as_of: datetime) -> Da
     staged = tables.batch(table.staging_table, batch_id)
     loaded = with_keys(to_core(staged, target, as_of), table, tables)
     keys = [c for c in table.unique if c in loaded.columns]
-    tables.upsert(loaded, target, keys or [table.primary_key])
+    tables.upsert(loaded, target, keys or [table.primary_key], partition_by=tuple(c for c in table.partition_by if c in loaded.columns))
     return lineage(tables.spark, table, staged, tables.read(target), batch_id, as_of)
 
 

@@ -190,6 +190,7 @@ class CoreTable:
     required: tuple[str, ...]
     mapping: dict[str, str | tuple[str, str]]
     foreign: dict[str, tuple[str, str]] = field(default_factory=dict)  # column -> (table, lookup key)
+    partition_by: tuple[str, ...] = ()
 
 
 # Staging column -> core column.
@@ -241,6 +242,7 @@ CORE_TABLES: dict[str, CoreTable] = {
                 "hlrnc": "hlrnc_status",
             },
             foreign={"permit_id": ("permits", "npdes_id")},
+            partition_by=("measurement_year",),
         ),
         CoreTable(
             name="air_emissions",
@@ -259,6 +261,7 @@ CORE_TABLES: dict[str, CoreTable] = {
                 "pgm_sys_id": "program_system_id",
             },
             foreign={"facility_id": ("facilities", "registry_id")},
+            partition_by=("reporting_year",),
         ),
         CoreTable(
             name="compliance_history",

@@ -8,11 +8,11 @@ the old version in place.
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from sievework.operators.ordering import dense_positions
 
 ETL_COLUMNS = ("etl_batch_id", "etl_load_date", "etl_source_file", "etl_row_number")
@@ -113,12 +113,32 @@ class Tables:
     def batch(self, name: str, batch_id: int) -> DataFrame:
         return self.read(name, "staging").filter(F.col(BATCH_COLUMN) == batch_id)
 
-    def upsert(self, source: DataFrame, name: str, keys: list[str], schema: str = "core", order: list[str] | None = None) -> None:
-        if self.exists(name, schema):
-            source = upsert(self.read(name, schema), source, keys, order)
-        else:
-            source = newest_per_key(source, keys, order)
-        self.replace(source, name, schema)
+    def upsert(
+        self, source: DataFrame, name: str, keys: list[str], schema: str = "core", order: list[str] | None = None,
+        partition_by: tuple[str, ...] = (),
+    ) -> None:
+        """Update rows whose key exists, insert the others.
+
+        When the key holds the partition columns, only partitions the source has rows for are read
+        and written (by dynamic overwrite; repeating a lost upsert gives the same rows).  Otherwise the
+        table is replaced by its next version.
+        """
+        if not self.exists(name, schema):
+            self.replace(newest_per_key(source, keys, order), name, schema, partition_by)
+            return
+        target = self.read(name, schema)
+        if not partition_by or not set(partition_by).issubset(keys):
+            self.replace(upsert(target, source, keys, order), name, schema, partition_by)
+            return
+        touched = source.select(*partition_by).distinct()
+        same = reduce(and_, [target[c].eqNullSafe(touched[c]) for c in partition_by])
+        merged = upsert(target.join(touched, same, "left_semi"), source, keys, order)
+        (
+            merged.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*partition_by)
+            .parquet(self.current(name, schema))
+        )
 
     def info(self, name: str, schema: str = "core") -> DataFrame:
         return table_info(self.read(name, schema), f"{schema}.{name}")
@@ -191,5 +211,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
 
 
 def stable_key(*columns: str) -> Column:
-    """Surrogate key that does not depend on load order: a hash of the natural key."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+    """Surrogate key that does not depend on load order: a 128-bit hash of the natural key.
+
+    64 bits would collide within some billions of rows.
+    """
+    return F.md5(F.to_json(F.struct(*[F.col(c) for c in columns])))

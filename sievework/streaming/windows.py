@@ -9,7 +9,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from sievework.operators.dedup import keep_last
 from sievework.operators.runs import DEFAULT_SLAS, Sla, sla_checks
 
 
@@ -62,3 +64,22 @@ def dashboard_windows(events: DataFrame, minutes: int = 60, keys: tuple[str, ...
         F.avg(F.when(done, F.col("duration_seconds"))).alias("average_duration"),
     )
     return counted.select(F.col("window.start").alias("window_start"), *keys, "executed", "failures", "average_duration")
+
+
+def write_updates(stream: DataFrame, path: str, checkpoint: str, output_mode: str = "update") -> StreamingQuery:
+    """Process everything that is new and stop; every batch writes its changed rows.
+
+    A batch overwrites its own folder, so a batch repeated after a failure replaces itself.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/update_batch={batch_id}")
+
+    return (
+        stream.writeStream.outputMode(output_mode).foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest_updates(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Current row of every key from the written updates."""
+    return keep_last(updates, keys, ["update_batch"]).drop("update_batch")

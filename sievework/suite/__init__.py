@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning", "checks", "anomalies")
+MODULES = ("cleaning", "checks", "anomalies", "quality", "runs", "storage", "streams")
 
 
 def load_all():
