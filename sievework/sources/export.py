@@ -34,6 +34,6 @@ def export_report(df: DataFrame, path: str, layout: str = "json") -> None:
     if layout == "json":
         df.write.mode("overwrite").json(path)
     elif layout == "csv":
-        flattened(df).write.mode("overwrite").option("header", True).csv(path)
+        flattened(df).write.mode("overwrite").options(header=True, escape='"').csv(path)
     else:
         raise ValueError(f"Unknown report layout: {layout}")

@@ -37,6 +37,10 @@ class Tables:
             return fs, []
         return fs, [status.getPath() for status in fs.listStatus(path)]
 
+    def _mark(self, folder: str) -> None:
+        fs, _ = self._files(folder)
+        fs.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"), True).close()
+
     def versions(self, name: str, schema: str = "core") -> list[int]:
         fs, children = self._files(self.path(name, schema))
         jvm = self.spark.sparkContext._jvm
@@ -109,6 +113,8 @@ class Tables:
             .partitionBy(BATCH_COLUMN)
             .parquet(target)
         )
+        if not known:
+            self._mark(target)  # dynamic overwrite leaves no mark of its own
 
     def batch(self, name: str, batch_id: int) -> DataFrame:
         return self.read(name, "staging").filter(F.col(BATCH_COLUMN) == batch_id)

@@ -173,13 +173,14 @@ def judged_runs(spark, sf, text=BEFORE):
     return findings.judged(frame(spark, sf, text))
 
 
+_RATES = """SELECT dataset_name, (critical_errors + warnings) * 100e0 / (validation_checks + anomaly_checks) AS r FROM ({}) AS c"""
+
+
 @query(
     "error_reduction",
-    f"""WITH b AS ({judged_sql(BEFORE)}), a AS ({judged_sql(AFTER)})
-    SELECT b.dataset_name, b.error_rate AS error_rate_before, a.error_rate AS error_rate_after,
-      round(CASE WHEN b.error_rate > 0 THEN (b.error_rate - a.error_rate) / b.error_rate * 100 ELSE 0 END, 3) AS error_reduction_percentage,
-      round(CASE WHEN b.quality_score > 0 THEN (a.quality_score - b.quality_score) / b.quality_score * 100 ELSE 0 END, 3) AS quality_improvement_percentage,
-      CASE WHEN b.error_rate > 0 THEN (b.error_rate - a.error_rate) / b.error_rate * 100 ELSE 0 END >= 40 - 1e-6 AS improvement_achieved FROM b JOIN a ON a.dataset_name = b.dataset_name""",
+    f"""WITH b AS ({_RATES.format(BEFORE)}), a AS ({_RATES.format(AFTER)}), j AS (SELECT b.dataset_name, b.r AS x, a.r AS y, greatest(0e0, 100 - b.r) AS p, greatest(0e0, 100 - a.r) AS q FROM b JOIN a ON a.dataset_name = b.dataset_name)
+    SELECT dataset_name, round(x, 6) AS error_rate_before, round(y, 6) AS error_rate_after, round(CASE WHEN x > 0 THEN (x - y) / x * 100 ELSE 0 END, 3) AS error_reduction_percentage,
+      round(CASE WHEN p > 0 THEN (q - p) / p * 100 ELSE 0 END, 3) AS quality_improvement_percentage, CASE WHEN x > 0 THEN (x - y) / x * 100 ELSE 0 END >= 40 AS improvement_achieved FROM j""",
 )
 def error_reduction(spark, sf):
     found = findings.error_reduction(judged_runs(spark, sf), judged_runs(spark, sf, AFTER))

@@ -15,7 +15,7 @@ from sievework.suite.runs import DASHBOARD, METRICS, SLA_WINDOWS
 
 def event_stream(spark, sf, text: str | None = None):
     """The events as a stream, shaped by the given text."""
-    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet")
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
     if text is None:
         return stream
     return spark.sql(text.replace("FROM events", "FROM {events}"), events=stream)
