@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions.text import trimmed
 
-# Date layouts tried in this order.
+# Date layouts tried in this order, each with the shape of the texts it can fit.
 DATE_LAYOUTS = (
-    "yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "d/M/yyyy", "d-M-yyyy", "yyyyMMdd", "MMddyyyy",
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"), ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"), ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"), ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"), ("MMddyyyy", r"^\d{8}$"),
 )
 # Layouts tried last, for texts that carry a time or a month name.
 LOOSE_LAYOUTS = (
     "yyyy-M-d H:m[:s]", "yyyy-M-d'T'H:m[:s][XXX]", "M/d/yyyy H:m[:s]", "MMM d, yyyy", "MMMM d, yyyy",
     "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
 )
+LOOSE_SHAPE = "[:A-Za-z]"
 # Dates outside these years are not representable in nanoseconds and count as unreadable.
 EARLIEST, LATEST = "1677-09-22", "2262-04-11"
 
@@ -34,6 +38,20 @@ def to_number(column: Column) -> Column:
     return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
 
 
+def number_in(schema: T.StructType | None, name: str) -> Column:
+    """Number in a column of a known schema: numeric columns as they are, others parsed as text."""
+    if schema is not None and isinstance(schema[name].dataType, T.NumericType):
+        return F.col(name).cast("double")
+    return to_number(F.col(name))
+
+
+def date_in(schema: T.StructType | None, name: str) -> Column:
+    """Date in a column of a known schema; dates and timestamps are not parsed."""
+    if schema is not None and isinstance(schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.col(name).cast("date")
+    return to_date_flexible(F.col(name))
+
+
 def to_whole(column: Column) -> Column:
     """Long, or null; ``"5.0"`` is 5 and a fraction is cut."""
     return to_number(column).try_cast("bigint")
@@ -45,12 +63,18 @@ def to_identifier(column: Column) -> Column:
 
 
 def to_date_flexible(column: Column) -> Column:
-    """Date from any of the known layouts; the first layout that fits wins."""
+    """Date from any of the known layouts; the first layout that fits wins.
+
+    A layout only sees texts of its shape: a parser that fails costs far more than a pattern.
+    Columns that are dates or timestamps already pass through their ISO text.
+    """
     text = trimmed(column.cast("string"))
-    tries = [F.try_to_date(text, layout) for layout in DATE_LAYOUTS]
-    tries += [F.try_to_timestamp(text, F.lit(layout)).cast("date") for layout in LOOSE_LAYOUTS]
-    low, high = F.lit(EARLIEST).cast("date"), F.lit(LATEST).cast("date")
-    return F.coalesce(*[F.when(t.between(low, high), t) for t in tries])
+    iso = text.rlike(DATE_LAYOUTS[0][1])
+    tries = [F.when(F.typeof(column).startswith("timestamp"), F.substring(text, 1, 10).try_cast("date")), F.when(iso, text.try_cast("date"))]
+    tries += [F.when(text.rlike(shape), F.try_to_date(text, layout)) for layout, shape in DATE_LAYOUTS[1:]]
+    loose = F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)).cast("date") for layout in LOOSE_LAYOUTS])
+    parsed = F.coalesce(*tries, F.when(text.rlike(LOOSE_SHAPE), loose))
+    return F.when(parsed.between(F.lit(EARLIEST).cast("date"), F.lit(LATEST).cast("date")), parsed)
 
 
 def date_shape(column: Column) -> Column:
@@ -61,12 +85,11 @@ def date_shape(column: Column) -> Column:
     return chain.otherwise("OTHER")
 
 
-def year_of(column_name: str) -> Column:
+def year_of(column_name: str, schema: T.StructType | None = None) -> Column:
     """Year in a ``*year*`` column; ``yearqtr`` carries it in the first four characters."""
-    column = F.col(column_name)
     if column_name.replace("_", "") == "yearqtr":
-        return to_number(F.substring(column.cast("string"), 1, 4))
-    return to_number(column)
+        return to_number(F.substring(F.col(column_name).cast("string"), 1, 4))
+    return number_in(schema, column_name)
 
 
 def decimal_places(column: Column, is_text: bool = False) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sievework.functions import codes
-from sievework.functions.parsing import to_number
 
 
 def outside(value: Column, bounds: tuple[float, float]) -> Column:
@@ -31,7 +30,7 @@ def share(part: Column, whole: Column) -> Column:
 def compliance_score(violations: dict[str, Column]) -> Column:
     """100 minus the weighted violations in percent of twenty, never below 0; missing counts are 0."""
     weights = dict(codes.VIOLATION_WEIGHTS)
-    weighted = [F.coalesce(to_number(c), F.lit(0.0)) * weights[kind] for kind, c in violations.items()]
+    weighted = [F.coalesce(c, F.lit(0.0)) * weights[kind] for kind, c in violations.items()]
     total = reduce(add, weighted, F.lit(0.0))
     return F.greatest(F.lit(0.0), 100.0 - total / codes.VIOLATIONS_FOR_ZERO_SCORE * 100.0)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import codes
-from sievework.functions.parsing import to_date_flexible, to_identifier, to_number, to_whole, year_of
+from sievework.functions.parsing import number_in, to_date_flexible, to_identifier, to_number, to_whole, year_of
 from sievework.functions.scoring import (
     compliance_score,
     flag,
@@ -70,8 +70,8 @@ def _coordinate_bounds(column: str) -> tuple[float, float] | None:
 
 def clean_coordinates(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null out impossible coordinates and mark the row, so that later steps see clean values."""
-    bad = {c: flag(outside(to_number(F.col(c)), _coordinate_bounds(c))) for c in columns if c in df.columns and _coordinate_bounds(c)}
-    changed = {c: F.when(~is_bad, to_number(F.col(c))) for c, is_bad in bad.items()}
+    bad = {c: flag(outside(number_in(df.schema, c), _coordinate_bounds(c))) for c in columns if c in df.columns and _coordinate_bounds(c)}
+    changed = {c: F.when(~is_bad, number_in(df.schema, c)) for c, is_bad in bad.items()}
     changed[INVALID_COORDINATES] = reduce(or_, bad.values(), F.lit(False))
     return df.withColumns(changed)
 
@@ -85,7 +85,7 @@ def standard_identifiers(df: DataFrame) -> DataFrame:
         elif name == "npdes_id" or has_token(name, "state"):
             changed[name] = upper_code(F.col(name).cast("string"))
         elif name == "fac_epa_region":
-            region = to_number(F.col(name))
+            region = number_in(df.schema, name)
             changed[name] = F.when(region.between(*codes.REGION_RANGE), region)
     return df.withColumns(changed) if changed else df
 
@@ -121,7 +121,7 @@ def default_values(df: DataFrame) -> DataFrame:
 def score_compliance(df: DataFrame) -> DataFrame:
     """``compliance_score`` and ``is_compliant`` from whichever violation counts the frame has."""
     found = {kind: either_spelling(df.columns, kind) for kind, _ in codes.VIOLATION_WEIGHTS}
-    counts = {kind: F.col(name) for kind, name in found.items() if name}
+    counts = {kind: number_in(df.schema, name) for kind, name in found.items() if name}
     if not counts:
         return df
     score = compliance_score(counts)
@@ -138,7 +138,7 @@ def derive_region(df: DataFrame) -> DataFrame:
     latitude, longitude = coordinate_pair(df.columns)
     if not latitude or not longitude:
         return df
-    region = region_from_position(to_number(F.col(latitude)), to_number(F.col(longitude)))
+    region = region_from_position(number_in(df.schema, latitude), number_in(df.schema, longitude))
     return df.withColumn("derived_epa_region", region)
 
 
@@ -150,7 +150,7 @@ def standard_units(df: DataFrame) -> DataFrame:
     if "annual_emission" in df.columns:
         factor = unit_factor(F.col("unit_of_measure"))
         changed["emission_factor"] = factor
-        changed["annual_emission_pounds"] = F.coalesce(to_number(F.col("annual_emission")) * factor, F.lit(0.0))
+        changed["annual_emission_pounds"] = F.coalesce(number_in(df.schema, "annual_emission") * factor, F.lit(0.0))
     return df.withColumns(changed)
 
 
@@ -160,12 +160,12 @@ def apply_declared_ranges(df: DataFrame, source: Source, last_year: int) -> Data
     if "coordinate_bounds" in source.rules:
         for name in source.snake(source.coordinates):
             if name in df.columns and _coordinate_bounds(name):
-                changed[name] = F.when(~flag(outside(to_number(F.col(name)), _coordinate_bounds(name))), F.col(name))
+                changed[name] = F.when(~flag(outside(number_in(df.schema, name), _coordinate_bounds(name))), F.col(name))
     if "year_from" in source.rules:
         bounds = (source.rules["year_from"], last_year)
         for name in df.columns:
             if has_token(name, "year", "yearqtr"):
-                changed[name] = F.when(~flag(outside(year_of(name), bounds)), F.col(name))
+                changed[name] = F.when(~flag(outside(year_of(name, df.schema), bounds)), F.col(name))
     return df.withColumns(changed) if changed else df
 
 
@@ -173,13 +173,13 @@ def out_of_range(df: DataFrame, coordinates: list[str]) -> Column:
     """Region outside 1..10, impossible coordinates, or a penalty above the maximum."""
     tests = []
     if "fac_epa_region" in df.columns:
-        tests.append(flag(outside(to_number(F.col("fac_epa_region")), codes.REGION_RANGE)))
+        tests.append(flag(outside(number_in(df.schema, "fac_epa_region"), codes.REGION_RANGE)))
     for name in coordinates:
         if name in df.columns and _coordinate_bounds(name):
-            tests.append(flag(outside(to_number(F.col(name)), _coordinate_bounds(name))))
+            tests.append(flag(outside(number_in(df.schema, name), _coordinate_bounds(name))))
     for name in df.columns:
         if has_token(name, "penalty"):
-            tests.append(flag(to_number(F.col(name)) > codes.MAX_PENALTY))
+            tests.append(flag(number_in(df.schema, name) > codes.MAX_PENALTY))
     return reduce(or_, tests, F.lit(False))
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 PIVOT_SPREAD = 0.001
 
@@ -33,6 +33,11 @@ class _Search:
     inside: int = 0  # rows strictly between the bounds
     answer: float | None = None
 
+    @property
+    def place(self) -> float:
+        """Where the rank lies among the rows inside, between 0 and 1."""
+        return (self.rank - self.below) / max(self.inside - 1, 1)
+
     def within(self, value: Column) -> Column:
         kept = value
         if self.low is not None:
@@ -83,46 +88,52 @@ def _select(df, columns, ranks, rows, exact_rows) -> dict[tuple[str, int], float
         if not wide:
             break
         _narrow(df, columns, wide)
-    rest = [s for s in searches if s.answer is None]
+    rest = _by_interval([s for s in searches if s.answer is None])
     if rest:
-        row = df.agg(
-            *[
-                F.percentile(s.within(columns[s.column]), F.lit((s.rank - s.below) / max(s.inside - 1, 1))).alias(f"s{i}")
-                for i, s in enumerate(rest)
-            ]
-        ).first()
-        for i, s in enumerate(rest):
-            s.answer = row[f"s{i}"]
+        points = [F.array(*[F.lit(s.place) for s in group]) for group in rest]
+        row = df.agg(*[F.percentile(g[0].within(columns[g[0].column]), p).alias(f"s{i}") for i, (g, p) in enumerate(zip(rest, points))]).first()
+        for i, group in enumerate(rest):
+            for s, value in zip(group, row[f"s{i}"]):
+                s.answer = value
     return {(s.column, s.rank): s.answer for s in searches}
 
 
+def _by_interval(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches that look at the same rows, so that one sketch serves all of them."""
+    groups: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        groups.setdefault((s.column, s.low, s.high), []).append(s)
+    return list(groups.values())
+
+
 def _narrow(df, columns, searches: list[_Search]) -> None:
     """One sketch pass for pivots around every rank, one exact counting pass at those pivots."""
+    groups = _by_interval(searches)
     proposals = []
-    for i, s in enumerate(searches):
-        place = (s.rank - s.below) / max(s.inside - 1, 1)
-        wanted = [min(max(place + d, 0.0), 1.0) for d in (-PIVOT_SPREAD, 0.0, PIVOT_SPREAD)]
-        proposals.append(
-            F.percentile_approx(s.within(columns[s.column]), F.array(*[F.lit(w) for w in wanted]), F.lit(SKETCH_ACCURACY)).alias(f"p{i}")
-        )
-    pivots = df.agg(*proposals).first()
+    for i, group in enumerate(groups):
+        wanted = sorted({min(max(s.place + d, 0.0), 1.0) for s in group for d in (-PIVOT_SPREAD, 0.0, PIVOT_SPREAD)})
+        value = group[0].within(columns[group[0].column])
+        proposals.append(F.percentile_approx(value, F.array(*[F.lit(w) for w in wanted]), F.lit(SKETCH_ACCURACY)).alias(f"p{i}"))
+    row = df.agg(*proposals).first()
+    pivots = [sorted(set(row[f"p{i}"])) for i in range(len(groups))]
     tallies = []
-    for i, s in enumerate(searches):
-        value = columns[s.column]
-        for j, pivot in enumerate(sorted(set(pivots[f"p{i}"]))):
+    for i, group in enumerate(groups):
+        value = columns[group[0].column]
+        for j, pivot in enumerate(pivots[i]):
             tallies += [F.count_if(value < pivot).alias(f"lt{i}_{j}"), F.count_if(value <= pivot).alias(f"le{i}_{j}")]
     counted = df.agg(*tallies).first()
-    for i, s in enumerate(searches):
-        top = s.below + s.inside
-        for j, pivot in enumerate(sorted(set(pivots[f"p{i}"]))):
-            under, upto = counted[f"lt{i}_{j}"], counted[f"le{i}_{j}"]
-            if under <= s.rank < upto:
-                s.answer = pivot
-            elif upto <= s.rank:
-                s.low, s.below = pivot, upto
-            elif s.high is None or pivot < s.high:
-                s.high, top = pivot, under
-        s.inside = top - s.below
+    for i, group in enumerate(groups):
+        for s in group:
+            top = s.below + s.inside
+            for j, pivot in enumerate(pivots[i]):
+                under, upto = counted[f"lt{i}_{j}"], counted[f"le{i}_{j}"]
+                if under <= s.rank < upto:
+                    s.answer = pivot
+                elif upto <= s.rank:
+                    s.low, s.below = pivot, upto
+                elif s.high is None or pivot < s.high:
+                    s.high, top = pivot, under
+            s.inside = top - s.below
 
 
 def quantile(df: DataFrame, column: Column, probability: float, exact_rows: int = EXACT_ROWS) -> float | None:

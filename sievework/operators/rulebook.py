@@ -1,4 +1,8 @@
-"""The rules: per-table field lists, ranges, patterns, cross-field logic and table constraints."""
+"""The rules: per-table field lists, ranges, patterns, cross-field logic and table constraints.
+
+``columns`` is a list of names or, better, the schema of the frame: values of numeric and date columns are
+then compared as they are, only texts are parsed.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,10 @@ from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions import codes
-from sievework.functions.parsing import to_date_flexible, to_number, to_whole
+from sievework.functions.parsing import date_in, number_in
 from sievework.functions.scoring import outside
 from sievework.functions.text import trimmed
 from sievework.operators.rules import CRITICAL, Rule
@@ -35,6 +40,17 @@ PH_FIELDS = ("ph_value", "ph_level")
 FLOW_FIELDS = ("total_design_flow_mgd", "actual_average_flow_mgd")
 
 
+Columns = Sequence[str] | T.StructType
+
+
+def names_of(columns: Columns) -> Sequence[str]:
+    return columns.names if isinstance(columns, T.StructType) else columns
+
+
+def schema_of(columns: Columns) -> T.StructType | None:
+    return columns if isinstance(columns, T.StructType) else None
+
+
 def text(name: str) -> Column:
     return F.col(name).cast("string")
 
@@ -43,13 +59,14 @@ def blank(name: str) -> Column:
     return F.col(name).isNull() | (trimmed(text(name)) == "")
 
 
-def required_fields(columns: Sequence[str], table: str, fields: Sequence[str] | None = None) -> Rule:
+def required_fields(columns: Columns, table: str, fields: Sequence[str] | None = None) -> Rule:
     """Fails when any required field is null or blank; a field without a column fails every row.
 
     A table without declared fields has nothing to fail.
     """
     wanted = fields if fields is not None else REQUIRED_FIELDS.get(table, ())
-    tests = [blank(f) if f in columns else F.lit(True) for f in wanted]
+    present = set(names_of(columns))
+    tests = [blank(f) if f in present else F.lit(True) for f in wanted]
     return Rule(
         f"required_fields_{table}",
         reduce(or_, tests, F.lit(False)),
@@ -60,16 +77,16 @@ def required_fields(columns: Sequence[str], table: str, fields: Sequence[str] |
     )
 
 
-def numeric_type(field: str) -> Rule:
+def numeric_type(field: str, schema: T.StructType | None = None) -> Rule:
     return Rule(
-        f"numeric_type_{field}", F.col(field).isNotNull() & to_number(F.col(field)).isNull(),
+        f"numeric_type_{field}", F.col(field).isNotNull() & number_in(schema, field).isNull(),
         message=f"Invalid numeric values in {field}", column=field, finding_type="INVALID_FORMAT", group="type",
     )
 
 
-def date_type(field: str, as_of: datetime) -> Rule:
+def date_type(field: str, as_of: datetime, schema: T.StructType | None = None) -> Rule:
     """Fails when unreadable, before 1970, or more than a year ahead."""
-    parsed = to_date_flexible(F.col(field))
+    parsed = date_in(schema, field)
     earliest, latest = F.lit(f"{codes.FIRST_YEAR}-01-01").cast("date"), F.lit((as_of + timedelta(days=365)).date())
     bad = F.col(field).isNotNull() & (parsed.isNull() | (parsed < earliest) | (parsed > latest))
     return Rule(f"date_type_{field}", bad, message=f"Invalid dates in {field}", column=field, finding_type="INVALID_FORMAT", group="type")
@@ -89,15 +106,16 @@ def text_format(field: str) -> Rule:
     return Rule(f"string_format_{field}", bad, message=f"Invalid format in {field}", column=field, finding_type="INVALID_FORMAT", group="type")
 
 
-def data_types(columns: Sequence[str], as_of: datetime) -> list[Rule]:
-    rules = [numeric_type(f) for f in NUMERIC_FIELDS if f in columns]
-    rules += [date_type(f, as_of) for f in DATE_FIELDS if f in columns]
-    rules += [text_format(f) for f in (*TEXT_FIELDS, "registry_id") if f in columns]
+def data_types(columns: Columns, as_of: datetime) -> list[Rule]:
+    present, schema = set(names_of(columns)), schema_of(columns)
+    rules = [numeric_type(f, schema) for f in NUMERIC_FIELDS if f in present]
+    rules += [date_type(f, as_of, schema) for f in DATE_FIELDS if f in present]
+    rules += [text_format(f) for f in (*TEXT_FIELDS, "registry_id") if f in present]
     return rules
 
 
-def ranged(name: str, field: str, bounds: tuple[float, float], message: str) -> Rule:
-    return Rule(name, outside(to_number(F.col(field)), bounds), message=message, column=field)
+def ranged(name: str, field: str, bounds: tuple[float, float], message: str, schema: T.StructType | None = None) -> Rule:
+    return Rule(name, outside(number_in(schema, field), bounds), message=message, column=field)
 
 
 def member(name: str, field: str, allowed: Sequence, message: str, ignore_case: bool = False) -> Rule:
@@ -109,31 +127,31 @@ def matches(name: str, field: str, pattern: str, message: str) -> Rule:
     return Rule(name, ~text(field).rlike(pattern), message=message, column=field, finding_type="INVALID_FORMAT")
 
 
-def business(columns: Sequence[str], as_of: datetime) -> list[Rule]:
-    rules = []
+def business(columns: Columns, as_of: datetime) -> list[Rule]:
+    present, schema, rules = set(names_of(columns)), schema_of(columns), []
     for field, bounds in (("latitude", codes.LATITUDE_RANGE), ("longitude", codes.LONGITUDE_RANGE)):
-        if field in columns:
-            rules.append(ranged(f"coordinate_bounds_{field}", field, bounds, f"Coordinates out of bounds in {field}"))
-    if "epa_region" in columns:
-        region = to_whole(F.col("epa_region"))
+        if field in present:
+            rules.append(ranged(f"coordinate_bounds_{field}", field, bounds, f"Coordinates out of bounds in {field}", schema))
+    if "epa_region" in present:
+        region = number_in(schema, "epa_region").try_cast("bigint")
         bad = F.col("epa_region").isNotNull() & (region.isNull() | outside(region, codes.REGION_RANGE))
         rules.append(Rule("epa_regions", bad, message="Invalid EPA regions", column="epa_region"))
-    if "state_code" in columns:
+    if "state_code" in present:
         rules.append(member("state_codes", "state_code", codes.STATE_CODES, "Invalid state codes", ignore_case=True))
     for field in YEAR_FIELDS:
-        if field in columns:
-            rules.append(ranged(f"year_range_{field}", field, (codes.FIRST_YEAR, as_of.year), f"Invalid year range in {field}"))
-    if "annual_emission_amount" in columns:
-        rules.append(ranged("emission_ranges", "annual_emission_amount", codes.EMISSION_RANGE, "Invalid emission ranges"))
+        if field in present:
+            rules.append(ranged(f"year_range_{field}", field, (codes.FIRST_YEAR, as_of.year), f"Invalid year range in {field}", schema))
+    if "annual_emission_amount" in present:
+        rules.append(ranged("emission_ranges", "annual_emission_amount", codes.EMISSION_RANGE, "Invalid emission ranges", schema))
     for field in FLOW_FIELDS:
-        if field in columns:
-            rules.append(ranged(f"flow_ranges_{field}", field, codes.FLOW_RANGE, f"Invalid flow ranges in {field}"))
+        if field in present:
+            rules.append(ranged(f"flow_ranges_{field}", field, codes.FLOW_RANGE, f"Invalid flow ranges in {field}", schema))
     return rules
 
 
-def date_order(earlier: str, later: str, name: str = "permit_date_logic") -> Rule:
+def date_order(earlier: str, later: str, name: str = "permit_date_logic", schema: T.StructType | None = None) -> Rule:
     """Fails when the first date is not before the second."""
-    start, end = to_date_flexible(F.col(earlier)), to_date_flexible(F.col(later))
+    start, end = date_in(schema, earlier), date_in(schema, later)
     return Rule(
         name, start >= end, message=f"Permit {earlier.replace('_', ' ')} >= {later.replace('_', ' ')}",
         finding_type="BUSINESS_RULE", group="cross",
@@ -147,30 +165,30 @@ def both_or_none(first: str, second: str, name: str = "coordinate_consistency")
     )
 
 
-def not_above(value: str, limit: str, name: str = "flow_consistency") -> Rule:
+def not_above(value: str, limit: str, name: str = "flow_consistency", schema: T.StructType | None = None) -> Rule:
     return Rule(
-        name, to_number(F.col(value)) > to_number(F.col(limit)), message="Actual flow exceeds design flow",
+        name, number_in(schema, value) > number_in(schema, limit), message="Actual flow exceeds design flow",
         finding_type="BUSINESS_RULE", group="cross",
     )
 
 
-def cross_field(columns: Sequence[str]) -> list[Rule]:
-    has = set(columns).issuperset
+def cross_field(columns: Columns) -> list[Rule]:
+    has, schema = set(names_of(columns)).issuperset, schema_of(columns)
     rules = []
     if has(("effective_date", "expiration_date")):
-        rules.append(date_order("effective_date", "expiration_date"))
+        rules.append(date_order("effective_date", "expiration_date", schema=schema))
     if has(("latitude", "longitude")):
         rules.append(both_or_none("latitude", "longitude"))
     if has(("actual_average_flow_mgd", "total_design_flow_mgd")):
-        rules.append(not_above("actual_average_flow_mgd", "total_design_flow_mgd"))
+        rules.append(not_above("actual_average_flow_mgd", "total_design_flow_mgd", schema=schema))
     return rules
 
 
-def all_rules(columns: Sequence[str], table: str, as_of: datetime) -> list[Rule]:
+def all_rules(columns: Columns, table: str, as_of: datetime) -> list[Rule]:
     return [required_fields(columns, table), *data_types(columns, as_of), *business(columns, as_of), *cross_field(columns)]
 
 
-def stage_rules(columns: Sequence[str], table: str, stage: str, as_of: datetime) -> list[Rule]:
+def stage_rules(columns: Columns, table: str, stage: str, as_of: datetime) -> list[Rule]:
     """The part of the rule book an ETL stage runs; unknown stages run all of it."""
     if stage.lower() == "extract":
         return [required_fields(columns, table), *data_types(columns, as_of)]
@@ -179,9 +197,9 @@ def stage_rules(columns: Sequence[str], table: str, stage: str, as_of: datetime)
     return all_rules(columns, table, as_of)
 
 
-def declared_sets(columns: Sequence[str]) -> list[Rule]:
+def declared_sets(columns: Columns) -> list[Rule]:
     """Code sets and ranges that sources declare: statuses, flags, pH, HLRNC, programs, units, counts."""
-    has = set(columns)
+    has, schema = set(names_of(columns)), schema_of(columns)
     rules = []
     for field, allowed in (
         ("permit_status_code", codes.PERMIT_STATUS_CODES),
@@ -196,21 +214,21 @@ def declared_sets(columns: Sequence[str]) -> list[Rule]:
             rules.append(member(f"code_set_{field}", field, allowed, f"Unknown code in {field}"))
     for field in PH_FIELDS:
         if field in has:
-            rules.append(ranged(f"ph_range_{field}", field, codes.PH_RANGE, f"pH out of range in {field}"))
+            rules.append(ranged(f"ph_range_{field}", field, codes.PH_RANGE, f"pH out of range in {field}", schema))
     for field in ("nume90q", "nume90_q", "numcvdt", "numsvcd", "numpsch", "numd8090q", "numd8090_q"):
         if field in has:
-            rules.append(ranged(f"violation_count_{field}", field, codes.VIOLATION_COUNT_RANGE, f"Unlikely count in {field}"))
+            rules.append(ranged(f"violation_count_{field}", field, codes.VIOLATION_COUNT_RANGE, f"Unlikely count in {field}", schema))
     if "yearqtr" in has:
         rules.append(matches("pattern_yearqtr", "yearqtr", codes.YEARQTR_PATTERN, "YEARQTR is not YYYYQ"))
     for field in ("fac_total_penalties", "penalty_amount", "total_penalties"):
         if field in has:
-            rules.append(ranged(f"max_penalty_{field}", field, (float("-inf"), codes.MAX_PENALTY), f"Penalty too high in {field}"))
+            rules.append(ranged(f"max_penalty_{field}", field, (float("-inf"), codes.MAX_PENALTY), f"Penalty too high in {field}", schema))
     return rules
 
 
-def constraints(table: str, columns: Sequence[str], as_of: datetime) -> list[Rule]:
+def constraints(table: str, columns: Columns, as_of: datetime) -> list[Rule]:
     """NOT NULL and CHECK constraints of a core table as rules; absent columns are skipped."""
-    year = as_of.year
+    year, present, schema = as_of.year, set(names_of(columns)), schema_of(columns)
     not_null = {
         "facilities": ("facility_name", "state_code"),
         "permits": ("facility_id", "external_permit_number", "permit_type_code", "permit_status_code"),
@@ -252,16 +270,16 @@ def constraints(table: str, columns: Sequence[str], as_of: datetime) -> list[Rul
     }
     rules = [
         Rule(f"not_null_{c}", F.col(c).isNull(), severity=CRITICAL, message=f"{c} is null", column=c, finding_type="MISSING_VALUE", group="required")
-        for c in not_null.get(table, ()) if c in columns
+        for c in not_null.get(table, ()) if c in present
     ]
     for c, (low, high) in ranges.get(table, {}).items():
-        if c in columns:
-            value = to_number(F.col(c))
+        if c in present:
+            value = number_in(schema, c)
             bad = value < low if high is None else outside(value, (low, high))
             rules.append(Rule(f"check_{c}", bad, message=f"{c} out of range", column=c))
     for c, allowed in enums.get(table, {}).items():
-        if c in columns:
+        if c in present:
             rules.append(member(f"check_{c}", c, allowed, f"{c} not allowed"))
-    if table == "permits" and {"effective_date", "expiration_date"}.issubset(columns):
-        rules.append(date_order("effective_date", "expiration_date", "check_expiration_date"))
+    if table == "permits" and {"effective_date", "expiration_date"}.issubset(present):
+        rules.append(date_order("effective_date", "expiration_date", "check_expiration_date", schema))
     return rules

@@ -32,10 +32,6 @@ def _filled(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     return df.select(*columns).filter(F.col(value).isNotNull())
 
 
-def _array_sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
-
-
 def spike_scores(
     df: DataFrame, keys: list[str], order: list[str], value: str, leave_one_out: bool = False, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
@@ -55,14 +51,15 @@ def spike_scores(
     rows = rows.withColumn("_forward", F.floor((F.col("_size") - 1) / 2))
     # An even window reaches one point further back than forward.
     rows = rows.withColumn("_back", F.col("_size") - 1 - F.col("_forward"))
-    members = []
     for d in near:
         inside = F.lit(False) if leave_one_out and d == 0 else F.col("_back") >= -d if d < 0 else F.col("_forward") >= d
-        members.append(F.when(inside, F.col(f"_v{d + half}")))
-    rows = rows.withColumn("_window", F.array_compact(F.array(*members)))
-    rows = rows.withColumn("_mean", F.try_divide(_array_sum(F.col("_window")), F.size("_window")))
-    squares = _array_sum(F.transform("_window", lambda v: F.pow(v - F.col("_mean"), 2)))
-    rows = rows.withColumn("_spread", F.sqrt(F.try_divide(squares, F.size("_window") - 1)))
+        rows = rows.withColumn(f"_m{d + half}", F.when(inside, F.col(f"_v{d + half}")))
+    members = [F.col(f"_m{d + half}") for d in near]
+    zero = F.lit(0.0)
+    rows = rows.withColumn("_count", reduce(add, [m.isNotNull().cast("int") for m in members]))
+    rows = rows.withColumn("_mean", F.try_divide(reduce(add, [F.coalesce(m, zero) for m in members]), F.col("_count")))
+    squares = reduce(add, [F.coalesce(F.pow(m - F.col("_mean"), 2), zero) for m in members])
+    rows = rows.withColumn("_spread", F.sqrt(F.try_divide(squares, F.col("_count") - 1)))
     complete = (F.col("position") >= F.col("_back")) & (F.col("position") + F.col("_forward") < F.col("series_rows"))
     judged = complete & (F.col("series_rows") >= 3) & (F.col("_spread") > 0)
     columns = list(dict.fromkeys([*keys, *order, value]))

@@ -41,7 +41,7 @@ def run_stage(
     gate and reports made from them do not scan the data again.
     """
     label = f"{dataset}_{stage.lower()}" if stage.lower() in ("extract", "transform", "load") else dataset
-    book = [*rulebook.stage_rules(df.columns, table, stage, as_of), *extra_rules]
+    book = [*rulebook.stage_rules(df.schema, table, stage, as_of), *extra_rules]
     results = settle(rules.evaluate(df, book)) if book else None
     anomalies = None
     if stage.lower() == "transform":

@@ -67,7 +67,7 @@ _SHOWN = ["rule_name", "severity", "passed", "failed_count", "total_count", "err
 
 def results_of(spark, sf, text, name):
     rows = frame(spark, sf, text)
-    return rules.evaluate(rows, rulebook.all_rules(rows.columns, name, AS_OF))
+    return rules.evaluate(rows, rulebook.all_rules(rows.schema, name, AS_OF))
 
 
 @query("rule_results", cte(e=EMISSIONS) + rules_sql("e", EMISSION_CHECKS))
@@ -118,7 +118,7 @@ def top_failures(spark, sf):
 )
 def sample_failures(spark, sf):
     rows = frame(spark, sf, EMISSIONS)
-    book = rulebook.all_rules(rows.columns, "air_emissions", AS_OF)
+    book = rulebook.all_rules(rows.schema, "air_emissions", AS_OF)
     return rules.sample_failures(rows, book, ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
@@ -128,7 +128,7 @@ def sample_failures(spark, sf):
 )
 def failing_row_counts(spark, sf):
     rows = frame(spark, sf, PERMITS)
-    failing = rules.failing_rows(rows, rulebook.all_rules(rows.columns, "permits", AS_OF), ["permit_id"])
+    failing = rules.failing_rows(rows, rulebook.all_rules(rows.schema, "permits", AS_OF), ["permit_id"])
     return failing.groupBy("rule_name").agg(F.count(F.lit(1)).alias("rows_failing"))
 
 
@@ -150,7 +150,7 @@ DECLARED = f"SELECT m.*, CASE WHEN event_id > 0 THEN nume90_q * 2e0 END AS ph_va
 )
 def declared_sets(spark, sf):
     rows = frame(spark, sf, DECLARED)
-    return rounded(rules.evaluate(rows, rulebook.declared_sets(rows.columns)).select(*_SHOWN))
+    return rounded(rules.evaluate(rows, rulebook.declared_sets(rows.schema)).select(*_SHOWN))
 
 
 @query(
@@ -159,7 +159,7 @@ def declared_sets(spark, sf):
 )
 def declared_emission_sets(spark, sf):
     rows = frame(spark, sf, EMISSIONS)
-    return rounded(rules.evaluate(rows, rulebook.declared_sets(rows.columns)).select(*_SHOWN))
+    return rounded(rules.evaluate(rows, rulebook.declared_sets(rows.schema)).select(*_SHOWN))
 
 
 @query(
@@ -178,7 +178,7 @@ def declared_emission_sets(spark, sf):
 )
 def constraint_rules(spark, sf):
     rows = frame(spark, sf, PERMITS)
-    return rounded(rules.evaluate(rows, rulebook.constraints("permits", rows.columns, AS_OF)).select(*_SHOWN))
+    return rounded(rules.evaluate(rows, rulebook.constraints("permits", rows.schema, AS_OF)).select(*_SHOWN))
 
 
 @query(

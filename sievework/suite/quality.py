@@ -84,7 +84,7 @@ def findings_with_samples(spark, sf):
     from sievework.operators import rulebook
 
     rows = frame(spark, sf, PERMITS)
-    book = rulebook.all_rules(rows.columns, "permits", AS_OF)
+    book = rulebook.all_rules(rows.schema, "permits", AS_OF)
     found = findings.rule_findings(rules.evaluate(rows, book), "permits", AS_OF)
     listed = findings.with_samples(found, rules.sample_failures(rows, book, ["permit_id"]), "permit_id")
     return listed.select(
