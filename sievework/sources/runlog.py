@@ -51,11 +51,15 @@ def close_batch(
 def current_runs(events: DataFrame) -> DataFrame:
     """Latest state of every batch; values a later event leaves open come from an earlier one.
 
+    Of two events at the same moment the one that ends the run is the later.
+
     Partial aggregation keeps one candidate per batch and task, so a chatty batch moves no more rows
     than a quiet one.
     """
+    moment = F.struct("event_time", F.col("status") != "RUNNING")
+
     def latest(name: str):
-        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), F.col("event_time"))).alias(name)
+        return F.max_by(F.col(name), F.when(F.col(name).isNotNull(), moment)).alias(name)
 
     names = [c for c in events.columns if c not in ("batch_id", "event_time")]
     return events.groupBy("batch_id").agg(*[latest(n) for n in names])
