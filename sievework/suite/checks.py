@@ -300,17 +300,23 @@ SELECT s_suppkey AS id, 'PLANT ' || CASE WHEN s_acctbal > 5000 THEN 'BUILDING' E
 @query(
     "facility_match",
     cte(a=SITES, b=OTHER_SITES)
-    + """, p AS (SELECT a.id AS left_id, b.id AS right_id,
+    + """, x AS (SELECT min(id) AS id, count(*) AS copies, name, address, state, latitude, longitude FROM a GROUP BY ALL), y AS (SELECT min(id) AS id, count(*) AS copies, name, address, state, latitude, longitude FROM b GROUP BY ALL),
+    p AS (SELECT a.id AS left_id, b.id AS right_id, a.copies AS left_copies, b.copies AS right_copies,
       1e0 - levenshtein(a.name, b.name) / CAST(greatest(length(a.name), length(b.name)) AS DOUBLE) AS name_similarity,
       1e0 - levenshtein(a.address, b.address) / CAST(greatest(length(a.address), length(b.address)) AS DOUBLE) AS address_similarity
-      FROM a JOIN b ON a.state = b.state AND abs(a.latitude - b.latitude) <= 0.01e0 AND abs(a.longitude - b.longitude) <= 0.01e0)
-    SELECT left_id, right_id, round(name_similarity, 6) AS name_similarity, round(address_similarity, 6) AS address_similarity
+      FROM x AS a JOIN y AS b ON a.state = b.state AND abs(a.latitude - b.latitude) <= 0.01e0 AND abs(a.longitude - b.longitude) <= 0.01e0)
+    SELECT left_id, right_id, left_copies, right_copies, round(name_similarity, 6) AS name_similarity, round(address_similarity, 6) AS address_similarity
     FROM p WHERE name_similarity >= 0.85e0 AND address_similarity >= 0.8e0""",
 )
 def facility_match(spark, sf):
     return rounded(matching.match_sites(frame(spark, sf, SITES), frame(spark, sf, OTHER_SITES)))
 
 
+@query("site_members", cte(a=SITES) + "SELECT id, min(id) OVER (PARTITION BY name, address, state, latitude, longitude) AS site_id FROM a")
+def site_members(spark, sf):
+    return matching.site_members(frame(spark, sf, SITES))
+
+
 # Scores
 
 

@@ -158,14 +158,19 @@ def brute_matches(left, right):
     }
 
 
-@pytest.mark.parametrize("crowded", [0, 200])
+@pytest.mark.parametrize("crowded", [0, 5, 200])
 def test_site_matches_equal_all_pairs(spark, crowded):
     names = ["NORTH WATER PLANT", "NORTH WATER PLANTS", "NORTHWATER PLANT", "SOUTH WATER PLANT", "MILL", "MILLS", "MIL", "AB", "EASTERN STEEL AND IRON WORKS", "EASTERN STEAL AND IRON WORK"]
     sites = [(i, names[i % len(names)], f"{100 + i % 7} MAIN STREET", "TX" if i % 4 else "CA", 30.0 + (i % 3) * 0.009, -95.0 - (i % 2) * 0.02) for i in range(120)]
     left, right = sites[:60], sites[60:]
     schema = "id int, name string, address string, state string, latitude double, longitude double"
-    found = matching.match_sites(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), crowded=crowded)
-    assert {(r.left_id, r.right_id) for r in found.collect()} == brute_matches(left, right)
+    left, right = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    found = matching.match_sites(left, right, crowded=crowded)
+    mine, yours = matching.site_members(left), matching.site_members(right)
+    pairs = found.join(mine.toDF("a", "left_id"), "left_id").join(yours.toDF("b", "right_id"), "right_id")
+    wanted = brute_matches(sites[:60], sites[60:])
+    assert {(r.a, r.b) for r in pairs.collect()} == wanted
+    assert found.agg(F.sum(F.col("left_copies") * F.col("right_copies"))).first()[0] == len(wanted)
 
 
 def test_runs(spark):
