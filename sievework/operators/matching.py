@@ -19,17 +19,29 @@ CROWDED = 200
 def merge_masters(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """One master from two: all keys of both, values of the first where it has them.
 
-    ``found_in`` tells where a key came from.  Keys should be unique on both sides.
+    ``found_in`` tells where a key came from; rows without a complete key match nothing and stay.  A
+    full outer join cannot split a frequent key and sends all rows without one to a single task, so
+    matches and the rows left over on either side are found by joins that can.
     """
-    a, b = first.alias("a"), second.alias("b")
-    match = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
     columns = list(dict.fromkeys([*first.columns, *second.columns]))
+    a, b = first.alias("a"), second.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
     picked: list[Column] = []
     for name in columns:
         sides = [F.col(f"{side}.{name}") for side, df in (("a", first), ("b", second)) if name in df.columns]
         picked.append(F.coalesce(*sides).alias(name))
-    origin = F.when(F.col(f"a.{keys[0]}").isNull(), "second").when(F.col(f"b.{keys[0]}").isNull(), "first").otherwise("both")
-    return a.join(b, match, "full_outer").select(*picked, origin.alias("found_in"))
+    both = a.join(b, same).select(*picked, F.lit("both").alias("found_in"))
+    parts = [both, _without_match(first, second, keys, "first"), _without_match(second, first, keys, "second")]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).select(*columns, "found_in")
+
+
+def _without_match(df: DataFrame, other: DataFrame, keys: list[str], origin: str) -> DataFrame:
+    """Rows whose key the other side does not have, and rows without a complete key."""
+    complete = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    known = other.filter(complete).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_{k}") for k in keys])
+    rest = df.filter(complete).join(known, same, "left_anti").unionByName(df.filter(~complete))
+    return rest.withColumn("found_in", F.lit(origin))
 
 
 def _edits(length: Column, least: tuple[int, int]) -> Column:

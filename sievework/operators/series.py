@@ -44,13 +44,13 @@ def spike_scores(
     placed, longest = positions(_filled(df, keys, order, value), keys, order, bucket_rows)
     half = SPIKE_POINTS // 2
     rows = bucketed(placed, longest, half, half, bucket_rows)
-    near = neighbours(F.col(value).cast("double"), series_window(keys), -half, half)
-    # Steps that later ones use several times become columns, so that no expression is repeated.
-    rows = rows.withColumns({f"_v{d + half}": c for d, c in near.items()}).filter("at_home")
+    # An even window reaches one point further back than forward.  The reach is known before the offset
+    # window, so that a filter on the score, which is pushed down to that window, stays short.
     rows = rows.withColumn("_size", F.least(F.lit(SPIKE_POINTS), F.floor(F.col("series_rows") / 3)))
     rows = rows.withColumn("_forward", F.floor((F.col("_size") - 1) / 2))
-    # An even window reaches one point further back than forward.
     rows = rows.withColumn("_back", F.col("_size") - 1 - F.col("_forward"))
+    near = neighbours(F.col(value).cast("double"), series_window(keys), -half, half)
+    rows = rows.withColumns({f"_v{d + half}": c for d, c in near.items()}).filter("at_home")
     for d in near:
         inside = F.lit(False) if leave_one_out and d == 0 else F.col("_back") >= -d if d < 0 else F.col("_forward") >= d
         rows = rows.withColumn(f"_m{d + half}", F.when(inside, F.col(f"_v{d + half}")))
@@ -87,7 +87,7 @@ def trend_scores(df: DataFrame, keys: list[str], order: list[str], value: str, b
     window = {d: F.col(f"_v{d + TREND_HALF}") for d in near}
     rows = rows.withColumns(
         {
-            "_mean": reduce(add, [F.coalesce(v, F.lit(0.0)) for v in window.values()]) / (2 * F.col("_half")),
+            "_mean": F.try_divide(reduce(add, [F.coalesce(v, F.lit(0.0)) for v in window.values()]), 2 * F.col("_half")),
             "_low": F.least(*window.values()),
             "_high": F.greatest(*window.values()),
         }

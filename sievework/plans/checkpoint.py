@@ -71,8 +71,9 @@ def comprehensive(df: DataFrame, dataset: str, table: str, as_of: datetime, tie:
 def checkpoint(run: QaRun, quality: DataFrame | None, checkpoint_id: str, stage: str, as_of: datetime) -> DataFrame:
     """One row per checkpoint: statistics, score, flags and the decision to go on."""
     row = run.statistics
-    total = quality.select("overall_quality_score").scalar() if quality is not None else F.lit(None).cast("double")
+    # One subquery for all scores, so that the data is scored once.
     measured = quality.select(F.struct("overall_quality_score", "completeness_score", "accuracy_score", "consistency_score")).scalar() if quality is not None else None
+    total = measured["overall_quality_score"] if measured is not None else F.lit(None).cast("double")
     stats = F.struct("overall_status", "critical_errors", "anomalies_found")
     return row.select(
         F.lit(checkpoint_id).alias("checkpoint_id"), F.lit(stage).alias("stage"), F.lit(as_of).alias("checked_at"), "*",

@@ -154,7 +154,13 @@ def trend_change_one_series(spark, sf):
     return trend_rows(spark, sf, [], 1000)
 
 
-@query("series_summary")
+@query(
+    "series_summary",
+    f"""SELECT 'spike_detection' AS detector_name, 'time_series_spike' AS anomaly_type, 'value' AS column_name, CAST(0 AS BIGINT) AS anomaly_count, count(*) AS total_count, 0e0 AS anomaly_rate, 0e0 AS severity_score,
+      'Time series spikes/drops in value' AS description FROM events
+    UNION ALL SELECT 'trend_change', 'trend_change', 'value', n, t, round(n * 100e0 / t, 6), round(n / CAST(t AS DOUBLE), 6), 'Trend changes in value'
+      FROM (SELECT (SELECT count(*) FROM ({trend_sql("PARTITION BY user_id").replace("jump > 0.4", "jump > 0.8")}) AS k) AS n, (SELECT count(*) FROM events) AS t) AS c""",
+)
 def series_summary(spark, sf):
     rows = table(spark, sf, "events")
     first, second = series.series_summaries(rows, ["ts", "event_id"], ["value"], ["user_id"])

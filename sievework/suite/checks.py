@@ -474,7 +474,33 @@ def quality_by_dataset(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("quality_improvement")
+def scores_sql(name: str, text: str, completeness: str, valid: str, bad: str, key: str, rows: str = "true", timely: str = "100e0") -> str:
+    """Dimension scores of a frame; without a date column everything is current."""
+    return f"""SELECT '{name}' AS dataset_name, c AS completeness, a AS accuracy, k AS consistency, u AS uniqueness, t AS timeliness, c * 0.25e0 + a * 0.3e0 + k * 0.2e0 + u * 0.15e0 + t * 0.1e0 AS total
+      FROM (SELECT {timely} AS t, {completeness} AS c, count(*) FILTER (WHERE {valid}) * 100e0 / count(*) AS a, (count(*) - ({bad})) * 100e0 / count(*) AS k, count(DISTINCT {key}) * 100e0 / count(*) AS u FROM ({text}) AS f WHERE {rows}) AS q"""
+
+
+def mean_filled(columns) -> str:
+    return "(" + " + ".join(f"count({c})" for c in columns) + f") * 100e0 / count(*) / {len(columns)}"
+
+
+FACILITY_COLUMNS = (
+    "facility_id", "registry_id", "facility_name", "state_code", "latitude", "longitude", "epa_region", "annual_emission_amount", "ph_level", "measurement_year", "npdes_id",
+    "compliance_violations", "violation_count", "inspection_count", "compliance_status", "penalty_amount", "data_quality_score",
+)
+_BAD_FACILITY = "count(*) FILTER (WHERE (latitude IS NULL) <> (longitude IS NULL)) + count(*) FILTER (WHERE state_code <> upper(state_code))"
+_VALID_FACILITY = "latitude IS NOT NULL AND longitude IS NOT NULL"
+_BEFORE = scores_sql("facilities", FACILITIES, mean_filled(FACILITY_COLUMNS), _VALID_FACILITY, _BAD_FACILITY, "facility_id")
+_AFTER = scores_sql("facilities", FACILITIES, mean_filled(FACILITY_COLUMNS), _VALID_FACILITY, _BAD_FACILITY, "facility_id", "latitude IS NOT NULL AND longitude IS NOT NULL AND facility_name IS NOT NULL")
+_LETTER = "CASE WHEN total >= 90 THEN 5 WHEN total >= 80 THEN 4 WHEN total >= 70 THEN 3 WHEN total >= 60 THEN 2 ELSE 1 END"
+_IMPROVED = f"WITH b AS (SELECT *, {_LETTER} AS grade FROM ({_BEFORE}) AS x), a AS (SELECT *, {_LETTER} AS grade FROM ({_AFTER}) AS y) " + " UNION ALL ".join(
+    f"""SELECT b.dataset_name, substr('FDCBA', b.grade, 1) AS grade_before, substr('FDCBA', a.grade, 1) AS grade_after, a.grade > b.grade AS grade_improved, (a.total - b.total) / b.total * 100 >= 42 AS target_met,
+    '{d}' AS dimension, round(a.{c} - b.{c}, 6) AS absolute_gain, round((a.{c} - b.{c}) / b.{c} * 100, 6) AS percent_gain FROM b CROSS JOIN a"""
+    for d, c in (("completeness", "completeness"), ("accuracy", "accuracy"), ("consistency", "consistency"), ("uniqueness", "uniqueness"), ("timeliness", "timeliness"), ("overall", "total"))
+)
+
+
+@query("quality_improvement", _IMPROVED)
 def quality_improvement(spark, sf):
     """Facilities before and after bad coordinates and names are dropped."""
     rows = frame(spark, sf, FACILITIES)
@@ -483,12 +509,32 @@ def quality_improvement(spark, sf):
     return rounded(scores.improvement(before, after))
 
 
-@query("grade_histogram")
+_PERMIT_COLUMNS = (
+    "permit_id", "facility_id", "npdes_id", "external_permit_number", "permit_type_code", "permit_status_code", "major_minor_status", "total_design_flow_mgd", "actual_average_flow_mgd", "effective_date", "expiration_date",
+)
+_EMISSION_COLUMNS = ("facility_id", "registry_id", "reporting_year", "pollutant_name", "annual_emission_amount", "unit_of_measure", "program_system_acronym", "l_orderkey", "l_linenumber", "l_partkey")
+_BY_DATASET = " UNION ALL ".join(
+    (
+        scores_sql("facilities", FACILITIES, mean_filled(FACILITY_COLUMNS), _VALID_FACILITY, _BAD_FACILITY, "npdes_id"),
+        scores_sql(
+            "permits", PERMITS, mean_filled(_PERMIT_COLUMNS), "total_design_flow_mgd IS NOT NULL AND actual_average_flow_mgd IS NOT NULL", "0", "permit_id",
+            timely="count(*) FILTER (WHERE effective_date >= DATE '2024-01-01') * 100e0 / count(effective_date)",
+        ),
+        scores_sql("air_emissions", EMISSIONS, mean_filled(_EMISSION_COLUMNS), "annual_emission_amount IS NOT NULL", "0", "(registry_id, reporting_year, l_orderkey)"),
+    )
+)
+
+
+@query("grade_histogram", f"SELECT substr('FDCBA', {_LETTER}, 1) AS quality_grade, count(*) AS datasets, round(avg(total), 6) AS average_quality_score FROM ({_BY_DATASET}) AS s GROUP BY 1")
 def grade_histogram(spark, sf):
     return rounded(scores.grade_histogram(quality_by_dataset(spark, sf)))
 
 
-@query("score_history")
+@query(
+    "score_history",
+    f"""SELECT '2024-01-31' AS measured_at, dataset_name, round(total, 6) AS overall_quality_score, round(completeness, 6) AS completeness_score, round(accuracy, 6) AS accuracy_score,
+    round(consistency, 6) AS consistency_score FROM ({_BY_DATASET}) AS s""",
+)
 def score_history(spark, sf):
     return rounded(scores.score_history(quality_by_dataset(spark, sf).withColumn("measured_at", F.lit("2024-01-31")), "measured_at"))
 

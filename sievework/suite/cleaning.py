@@ -361,7 +361,14 @@ def transform_statistics(spark, sf):
     return rounded(stats.select("source_name", "input_rows", "output_rows", "duplicates_removed", "rows_flagged", "retention"))
 
 
-@query("transform_totals")
+@query(
+    "transform_totals",
+    cte(t=RAW_MEASUREMENTS)
+    + _TRANSFORMED
+    + """, c AS (SELECT (SELECT count(*) FROM t) AS n, count(*) AS kept, (12 * count(*) - count(*) FILTER (WHERE npdes_id IS NULL) - count(*) FILTER (WHERE cvdt IS NULL)) / (13e0 * count(*)) AS filled FROM s)
+    SELECT CAST(1 AS BIGINT) AS total_sources, n AS total_input_rows, kept AS total_output_rows, n - kept AS total_duplicates_removed, round(kept * 100e0 / n, 6) AS overall_retention,
+      round((filled - 0.875e0) / 0.875e0 * 100, 6) AS average_improvement FROM c""",
+)
 def transformation_totals(spark, sf):
     first = transform_stats(frame(spark, sf, RAW_MEASUREMENTS), source("npdes_measurements"), AS_OF)
     return rounded(transform_totals(first))
@@ -436,7 +443,33 @@ def correction_counts(spark, sf):
 SHORT_DEMO = f"SELECT *, annual_emission_amount AS emission_amount, CASE WHEN longitude > 100 THEN '2030-01-01' WHEN longitude < -100 THEN '1900-01-01' ELSE '2022-02-02' END AS inspection_date FROM ({FACILITIES}) AS f"
 
 
-@query("short_issue_breakdown")
+_SHORT_ISSUES = {
+    "missing_names": "facility_name = ''",
+    "invalid_states": "state_code NOT IN ('CA', 'TX', 'NY', 'FL', 'WA')",
+    "invalid_coords": "coalesce(latitude > 90 OR latitude < -90, false) OR coalesce(longitude > 180 OR longitude < -180, false)",
+    "zero_emissions": "emission_amount = 0",
+    "invalid_ph": "ph_level < 0 OR ph_level > 14",
+    "invalid_dates": "inspection_date IN ('2030-01-01', '1900-01-01')",
+}
+_SHORT_FIXED = """SELECT CASE WHEN facility_name = '' THEN 'Unknown Facility' ELSE facility_name END AS facility_name, CASE WHEN state_code IN ('XX', 'ZZ') THEN 'CA' ELSE state_code END AS state_code,
+    CASE WHEN latitude < -90 OR latitude > 90 THEN 34e0 ELSE latitude END AS latitude, CASE WHEN longitude < -180 OR longitude > 180 THEN -118e0 ELSE longitude END AS longitude,
+    CASE WHEN emission_amount = 0 THEN (SELECT median(emission_amount) FROM t WHERE emission_amount > 0) ELSE emission_amount END AS emission_amount,
+    CASE WHEN ph_level < 0 OR ph_level > 14 THEN 7e0 ELSE ph_level END AS ph_level, CASE WHEN inspection_date IN ('2030-01-01', '1900-01-01') THEN '2023-01-01' ELSE inspection_date END AS inspection_date FROM t"""
+
+
+def short_issues_sql(state: str, source_name: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{state}' AS state, '{n}' AS issue, count(*) FILTER (WHERE {c}) AS failed_count, count(*) AS total FROM {source_name}" for n, c in _SHORT_ISSUES.items()
+    )
+
+
+@query(
+    "short_issue_breakdown",
+    cte(t=SHORT_DEMO, u=_SHORT_FIXED)
+    + f", i AS ({short_issues_sql('before', 't')} UNION ALL {short_issues_sql('after', 'u')}) "
+    + """SELECT state, issue, failed_count, round(failed_count * 100e0 / total, 6) AS issue_rate,
+      round(sum(failed_count) OVER (PARTITION BY state) * 100e0 / sum(total) OVER (PARTITION BY state), 6) AS overall_error_rate FROM i""",
+)
 def short_issue_breakdown(spark, sf):
     """Before and after the short corrections."""
     rows = frame(spark, sf, SHORT_DEMO)

@@ -115,6 +115,13 @@ def test_trend_changes(spark, bucket, parts):
     assert len(wanted) > 3 and set(got) == set(wanted) and all(math.isclose(got[i], wanted[i], abs_tol=1e-6) for i in wanted)
 
 
+def test_short_series_are_skipped(spark):
+    df = spark.createDataFrame([("one", 1, 5.0), ("two", 1, 5.0), ("two", 2, 9.0), ("gap", 1, None)], "k string, t int, x double")
+    assert series.trend_changes(df, ["k"], ["t"], "x").count() == 0
+    assert series.spikes(df, ["k"], ["t"], "x", leave_one_out=True).count() == 0
+    assert series.trend(df, ["k"], ["t"], "x").count() == 1
+
+
 def test_year_spikes(spark):
     rows = [("a", 2000, 1.0), ("a", 2001, 11.5), ("a", 2002, 12.0), ("b", 2000, 0.0), ("b", 2001, 0.0), ("b", 2002, 5.0), ("c", 2000, 1.0), ("c", 2001, 99.0)]
     df = spark.createDataFrame(rows, "f string, y int, v double")
