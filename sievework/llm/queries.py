@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, language, mixing, quality, secrets, toxicity
+from sievework.llm import bpe, language, mixing, neighbours, quality, secrets, topk, toxicity
 from sievework.llm.common import label_split, scratch
 from sievework.llm.registry import query, table
 
@@ -95,6 +95,24 @@ def op4_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+TOPK_SQL = """
+    WITH ints AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+        FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+    ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query("op5_topk", TOPK_SQL)
+def op5_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", topk.whole_numbers(F.col("embedding")).alias("ints"), "embedding").filter(topk.usable(F.col("embedding")))
+    return topk.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every document; rows of one quarter are held out of the fit."""
@@ -120,3 +138,9 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf, "labels"))
     scored = toxicity.score(docs.withColumn("held_out", label_split(F.col("doc_id"), 5) == 0), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 nearest vectors found for every hundredth one."""
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
