@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, language, mixing, neighbours, quality, secrets, topk, toxicity
+from sievework.llm import bpe, jaccard, language, mixing, neighbours, quality, secrets, topk, toxicity
 from sievework.llm.common import label_split, scratch
 from sievework.llm.registry import query, table
 
@@ -122,6 +122,12 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", (label_split(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op8_language")
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document; rows of one fifth are held out of the fit."""
