@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import bpe, jaccard, language, mixing, neighbours, quality, secrets, topk, toxicity
+from sievework.llm import bpe, jaccard, language, mixing, neighbours, quality, repeats, secrets, topk, toxicity
 from sievework.llm.common import label_split, scratch
 from sievework.llm.registry import query, table
 
@@ -55,6 +55,12 @@ def op1_secret_scans(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(secrets.RULES)], F.sha2(spans.cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
 
 
+@query("op2_repeats")
+def op2_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every document that lie in a 400-byte string which occurs again."""
+    return repeats.remove(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 MIXING_SQL = """
     WITH sized AS (
         SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
