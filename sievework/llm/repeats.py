@@ -32,7 +32,7 @@ WINDOW, TRIGGER, RATE = 400, 8, 64
 #: The left reach of one record, and the bytes from a border on that all its windows share.
 STEP, SHARED = 144, WINDOW - 144
 #: Borders of a bucket and records of a part that one task holds on average.
-BUCKET, PART = 1_000_000, 20_000
+BUCKET, PART = 500_000, 10_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -89,35 +89,74 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, border, least, most, key
 
 
-def repeated(right: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of fixed-width strings and the common length of each with the next."""
+    width = rows.shape[1]
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}")[:, 0], kind="stable")
+    common = np.empty(max(0, len(order) - 1), np.int16)
+    for i in range(0, len(common), 8192):
+        here = order[i : i + 8193]
+        same = rows[here[1:]] == rows[here[:-1]]
+        common[i : i + 8192] = np.where(same.all(1), width, same.argmin(1))
+    return order, common
+
+
+def collapsed(right: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places of distinct records, each record's place among them, and how often each occurs."""
+    name = mix64((least * 1000 + most).astype(np.uint64))
+    for rows in (right, left):
+        factors = mix64(np.arange(1, rows.shape[1] // 8 + 1, dtype=np.uint64)) | np.uint64(1)
+        for i in range(0, len(rows), 8192):
+            name[i : i + 8192] += mix64((np.ascontiguousarray(rows[i : i + 8192]).view(np.uint64) * factors).sum(1, dtype=np.uint64))
+    _, first, place, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+    for i in range(0, len(name), 8192):
+        to, here = first[place[i : i + 8192]], slice(i, i + 8192)
+        if not ((right[here] == right[to]).all() and (left[here] == left[to]).all() and (least[here] == least[to]).all() and (most[here] == most[to]).all()):
+            every = np.arange(len(name))  # two records with one hash: keep all apart
+            return every, every, np.ones(len(name), np.int64)
+    return first, place, count
+
+
+def repeated(right: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which windows of a part occur twice or more: record and first and last of its consecutive reaches.
 
     ``right`` holds the bytes from each border on (zeros behind the text), ``left`` those before it, from the border
-    to the left.  A window that reaches k to the left needs k equal bytes there and WINDOW - k to the right.
+    to the left.  A window that reaches k to the left needs k equal bytes there and WINDOW - k to the right.  Equal
+    records are compared once.
     """
-
-    def order_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        width = rows.shape[1]
-        order = np.argsort(np.ascontiguousarray(rows).view(f"S{width}")[:, 0], kind="stable")
-        same = rows[order[1:]] == rows[order[:-1]]
-        return order, np.where(same.all(1), width, same.argmin(1))
-
-    n = len(least)
-    (by_right, common_right), (by_left, common_left) = order_of(right), order_of(left)
+    first, place, times = collapsed(right, left, least, most)
+    right, left, least, most = right[first], left[first], least[first], most[first]
+    (by_right, common_right), (by_left, common_left) = suffix_order(right), suffix_order(left)
+    n = len(first)
     hit = np.zeros((n, STEP + 3), np.int8)  # one free column on each side
     for k in range(int(least.min()), int(most.max()) + 1):
         live = np.flatnonzero((least <= k) & (k <= most))
-        if len(live) < 2:
+        if not len(live):
             continue
         a, b = np.empty(n, np.int64), np.empty(n, np.int64)
         a[by_right] = np.concatenate([[0], np.cumsum(common_right < WINDOW - k)])
         b[by_left] = np.concatenate([[0], np.cumsum(common_left < k)])
-        _, name, count = np.unique(a[live] * n + b[live], return_inverse=True, return_counts=True)
+        _, name = np.unique(a[live] * n + b[live], return_inverse=True)
+        count = np.bincount(name, weights=times[live])
         hit[live[count[name] > 1], k + 1] = 1
     change = np.diff(hit, axis=1)
-    record, first = np.nonzero(change == 1)
+    record, start = np.nonzero(change == 1)
     _, behind = np.nonzero(change == -1)
-    return record, first, behind - 1
+    # back from distinct records to all
+    order, runs = np.argsort(place, kind="stable"), np.bincount(record, minlength=n)
+    copies = runs[place[order]]
+    run = np.repeat((np.cumsum(runs) - runs)[place[order]], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+    return np.repeat(order, copies), start[run], behind[run] - 1
+
+
+def flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    """All values of a binary column end to end, without copies where it is one piece."""
+    parts = []
+    for chunk in table[name].chunks:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[chunk.offset] : ends[chunk.offset + len(chunk)]].view(kind))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
@@ -134,7 +173,7 @@ def _keys(texts: DataFrame, buckets: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(buckets)]
-            for i, j in bounds(batch.column(1), 2 << 20):
+            for i, j in bounds(batch.column(1), 1 << 20):
                 part = batch.slice(i, j - i)
                 data, offsets = text_bytes(part.column(1))
                 row, border, _, _, key = borders(data, offsets)
@@ -156,8 +195,7 @@ def _keys(texts: DataFrame, buckets: int) -> DataFrame:
 
 def _twice(table: pa.Table) -> pa.Table:
     """For each text of a bucket the borders whose hash isn't alone."""
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-    rid, spot, key = read("rids", np.int64), read("spots", np.int32), read("keys", np.uint32)
+    rid, spot, key = flat(table, "rids", np.int64), flat(table, "spots", np.int32), flat(table, "keys", np.uint32)
     _, name, count = np.unique(key, return_inverse=True, return_counts=True)
     live = np.flatnonzero(count[name] > 1)
     live = live[np.lexsort((spot[live], rid[live]))]
@@ -205,10 +243,9 @@ def _records(marked: DataFrame, parts: int) -> DataFrame:
 
 def _compare(table: pa.Table) -> pa.Table:
     """Starts of repeated windows: ``rid`` with packed pairs of first and last start of each run."""
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-    rid, spot = read("rids", np.int64), read("spots", np.int32).astype(np.int64)
-    least, most = read("least", np.int16).astype(np.int64), read("most", np.int16).astype(np.int64)
-    record, first, last = repeated(read("rights", np.uint8).reshape(-1, WINDOW), read("lefts", np.uint8).reshape(-1, STEP), least, most)
+    rid, spot = flat(table, "rids", np.int64), flat(table, "spots", np.int32).astype(np.int64)
+    least, most = flat(table, "least", np.int16).astype(np.int64), flat(table, "most", np.int16).astype(np.int64)
+    record, first, last = repeated(flat(table, "rights", np.uint8).reshape(-1, WINDOW), flat(table, "lefts", np.uint8).reshape(-1, STEP), least, most)
     runs = np.stack([spot[record] - last, spot[record] - first], 1)
     order = np.argsort(rid[record], kind="stable")
     ids, cut = np.unique(rid[record][order], return_index=True)
