@@ -48,11 +48,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Records of a batch of texts: row, border, least and greatest reach, and the hash of what their windows share."""
+    """Records of a batch of texts: row, border, least and greatest reach, and two hashes.
+
+    The first hash is of what all windows of a record share, the second of all its surroundings.
+    """
     n = len(data)
     empty = np.empty(0, np.int64)
     if n < WINDOW:
-        return empty, empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     value = np.zeros(n - TRIGGER + 1, np.uint64)
     for k in range(TRIGGER):
         value |= data[k : n - TRIGGER + 1 + k].astype(np.uint64) << np.uint64(8 * k)
@@ -85,8 +88,11 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     row, border, least, most, size = (np.concatenate(c) for c in zip(*found))
     power, inverse = _power(n + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])])
-    key = mix64((sums[border + size] - sums[border]) * inverse[border] + size.astype(np.uint64))
-    return row, border, least, most, key
+    between = lambda a, b: (sums[b] - sums[a]) * inverse[a]
+    key = mix64(between(border, border + size) + size.astype(np.uint64))
+    end = np.minimum(border + WINDOW, offsets[row + 1])
+    whole = mix64(mix64(between(border - most, end) + (end - border).astype(np.uint64)) + (least * 1000 + most).astype(np.uint64))
+    return row, border, least, most, key, whole
 
 
 def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,33 +107,35 @@ def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def collapsed(right: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First places of distinct records, each record's place among them, and how often each occurs."""
-    name = mix64((least * 1000 + most).astype(np.uint64))
-    for rows in (right, left):
-        factors = mix64(np.arange(1, rows.shape[1] // 8 + 1, dtype=np.uint64)) | np.uint64(1)
-        for i in range(0, len(rows), 8192):
-            name[i : i + 8192] += mix64((np.ascontiguousarray(rows[i : i + 8192]).view(np.uint64) * factors).sum(1, dtype=np.uint64))
-    _, first, place, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-    for i in range(0, len(name), 8192):
-        to, here = first[place[i : i + 8192]], slice(i, i + 8192)
-        if not ((right[here] == right[to]).all() and (left[here] == left[to]).all() and (least[here] == least[to]).all() and (most[here] == most[to]).all()):
-            every = np.arange(len(name))  # two records with one hash: keep all apart
-            return every, every, np.ones(len(name), np.int64)
-    return first, place, count
+def collapsed(names: np.ndarray, rows_of) -> tuple[np.ndarray, np.ndarray]:
+    """First places of distinct records and each record's place among them, by their hashes.
+
+    ``rows_of(places)`` gives the records themselves; if two with one hash differ, all are kept apart.
+    """
+    _, first, place = np.unique(names, return_index=True, return_inverse=True)
+    copies = np.flatnonzero(first[place] != np.arange(len(names)))
+    for i in range(0, len(copies), 8192):
+        here = copies[i : i + 8192]
+        if not (rows_of(here) == rows_of(first[place[here]])).all():
+            return np.arange(len(names)), np.arange(len(names))
+    return first, place
+
+
+def expand(counts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of the items of the chosen groups, group after group, where group g holds ``counts[g]`` items in a row."""
+    n = counts[chosen]
+    return np.repeat((np.cumsum(counts) - counts)[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def repeated(right: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(right: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which windows of a part occur twice or more: record and first and last of its consecutive reaches.
 
     ``right`` holds the bytes from each border on (zeros behind the text), ``left`` those before it, from the border
-    to the left.  A window that reaches k to the left needs k equal bytes there and WINDOW - k to the right.  Equal
-    records are compared once.
+    to the left, ``times`` how often a record occurs.  A window that reaches k to the left needs k equal bytes there
+    and WINDOW - k to the right.
     """
-    first, place, times = collapsed(right, left, least, most)
-    right, left, least, most = right[first], left[first], least[first], most[first]
     (by_right, common_right), (by_left, common_left) = suffix_order(right), suffix_order(left)
-    n = len(first)
+    n = len(least)
     hit = np.zeros((n, STEP + 3), np.int8)  # one free column on each side
     for k in range(int(least.min()), int(most.max()) + 1):
         live = np.flatnonzero((least <= k) & (k <= most))
@@ -142,11 +150,7 @@ def repeated(right: np.ndarray, left: np.ndarray, least: np.ndarray, most: np.nd
     change = np.diff(hit, axis=1)
     record, start = np.nonzero(change == 1)
     _, behind = np.nonzero(change == -1)
-    # back from distinct records to all
-    order, runs = np.argsort(place, kind="stable"), np.bincount(record, minlength=n)
-    copies = runs[place[order]]
-    run = np.repeat((np.cumsum(runs) - runs)[place[order]], copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-    return np.repeat(order, copies), start[run], behind[run] - 1
+    return record, start, behind - 1
 
 
 def flat(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -176,7 +180,7 @@ def _keys(texts: DataFrame, buckets: int) -> DataFrame:
             for i, j in bounds(batch.column(1), 1 << 20):
                 part = batch.slice(i, j - i)
                 data, offsets = text_bytes(part.column(1))
-                row, border, _, _, key = borders(data, offsets)
+                row, border, _, _, key, _ = borders(data, offsets)
                 rid, spot = part.column(0).to_numpy()[row], (border - offsets[row]).astype(np.int32)
                 bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 order = np.lexsort((spot, rid, bucket))
@@ -204,52 +208,72 @@ def _twice(table: pa.Table) -> pa.Table:
 
 
 def _records(marked: DataFrame, parts: int) -> DataFrame:
-    """Packed records of the marked borders by part, with their surroundings."""
+    """Packed records of the marked borders by part, with their surroundings; equal ones of a batch are one, with all their places."""
+    reach = np.arange(WINDOW)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in bounds(batch.column(1), 1 << 20):
                 part = batch.slice(i, j - i)
                 data, offsets = text_bytes(part.column(1))
-                row, border, least, most, key = borders(data, offsets)
-                spot = border - offsets[row]
+                row, border, least, most, key, whole = borders(data, offsets)
                 wanted = np.zeros(len(data) + 1, bool)
                 for start, lists in zip(offsets[:-1], part.column(2).to_pylist()):
                     for raw in lists:
                         wanted[start + np.frombuffer(raw, np.int32)] = True
                 at = np.flatnonzero(wanted[border])
-                home = (key[at] % np.uint64(parts)).astype(np.int64)
-                at = at[np.argsort(home, kind="stable")]
-                home = np.sort(home)
-                padded = np.concatenate([data, np.zeros(WINDOW, np.uint8)])
-                end = offsets[row + 1]
-                for a in range(0, len(at), 8192):
-                    some, homes = at[a : a + 8192], home[a : a + 8192]
-                    right = padded[border[some, None] + np.arange(WINDOW)]
-                    right[np.arange(WINDOW) >= (end[some] - border[some])[:, None]] = 0
-                    left = data[np.maximum(border[some, None] - 1 - np.arange(STEP), 0)]
-                    left[np.arange(STEP) >= most[some, None]] = 0
-                    cuts = np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1], [True]]))
-                    pairs = list(zip(cuts[:-1], cuts[1:]))
-                    ids = part.column(0).to_numpy()[row[some]]
-                    pack = lambda x: pa.array([np.ascontiguousarray(x[p:q]).tobytes() for p, q in pairs], pa.binary())  # noqa: B023, E731
+                row, border, least, most, key, whole = (x[at] for x in (row, border, least, most, key, whole))
+                padded, end = np.concatenate([data, np.zeros(WINDOW, np.uint8)]), offsets[row + 1]
+
+                def right_of(x: np.ndarray) -> np.ndarray:
+                    rows = padded[border[x, None] + reach]  # noqa: B023
+                    rows[reach >= (end[x] - border[x])[:, None]] = 0  # noqa: B023
+                    return rows
+
+                def left_of(x: np.ndarray) -> np.ndarray:
+                    rows = data[np.maximum(border[x, None] - 1 - reach[:STEP], 0)]  # noqa: B023
+                    rows[reach[:STEP] >= most[x, None]] = 0  # noqa: B023
+                    return rows
+
+                first, place = collapsed(whole, lambda x: np.concatenate([right_of(x), left_of(x), least[x, None], most[x, None]], 1))  # noqa: B023
+                times = np.bincount(place, minlength=len(first))
+                by = np.argsort(place, kind="stable")
+                ids, spots = part.column(0).to_numpy()[row], (border - offsets[row]).astype(np.int32)
+                home = (key[first] % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                for a in range(0, len(order), 8192):
+                    some = order[a : a + 8192]
+                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(home[some]) != 0, [True]]))
+                    pairs = [some[p:q] for p, q in zip(cuts[:-1], cuts[1:])]
+                    pack = lambda take: pa.array([np.ascontiguousarray(take(g)).tobytes() for g in pairs], pa.binary())  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(homes[cuts[:-1]], pa.int64()), pack(ids), pack(spot[some].astype(np.int32)), pack(least[some].astype(np.int16)), pack(most[some].astype(np.int16)), pack(right), pack(left)],
-                        ["part", "rids", "spots", "least", "most", "rights", "lefts"],
+                        [
+                            pa.array(home[some][cuts[:-1]], pa.int64()), pack(lambda g: ids[by[expand(times, g)]]), pack(lambda g: spots[by[expand(times, g)]]), pack(lambda g: times[g].astype(np.int32)),  # noqa: B023
+                            pack(lambda g: least[first[g]].astype(np.int16)), pack(lambda g: most[first[g]].astype(np.int16)), pack(lambda g: right_of(first[g])), pack(lambda g: left_of(first[g])),  # noqa: B023
+                        ],
+                        ["part", "rids", "spots", "times", "least", "most", "rights", "lefts"],
                     )
 
-    return marked.select("rid", "text", "spots").mapInArrow(work, "part long, rids binary, spots binary, least binary, most binary, rights binary, lefts binary")
+    return marked.select("rid", "text", "spots").mapInArrow(work, "part long, rids binary, spots binary, times binary, least binary, most binary, rights binary, lefts binary")
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """Starts of repeated windows: ``rid`` with packed pairs of first and last start of each run."""
-    rid, spot = flat(table, "rids", np.int64), flat(table, "spots", np.int32).astype(np.int64)
+    rid, spot, times = flat(table, "rids", np.int64), flat(table, "spots", np.int32).astype(np.int64), flat(table, "times", np.int32).astype(np.int64)
     least, most = flat(table, "least", np.int16).astype(np.int64), flat(table, "most", np.int16).astype(np.int64)
-    record, first, last = repeated(flat(table, "rights", np.uint8).reshape(-1, WINDOW), flat(table, "lefts", np.uint8).reshape(-1, STEP), least, most)
-    runs = np.stack([spot[record] - last, spot[record] - first], 1)
-    order = np.argsort(rid[record], kind="stable")
-    ids, cut = np.unique(rid[record][order], return_index=True)
-    return pa.table({"rid": pa.array(ids, pa.int64()), "runs": pa.array([x.tobytes() for x in np.split(runs[order], cut[1:])] if len(ids) else [], pa.binary())})
+    record, first, last = repeated(flat(table, "rights", np.uint8).reshape(-1, WINDOW), flat(table, "lefts", np.uint8).reshape(-1, STEP), least, most, times)
+    where = expand(times, record)  # every place of a record has the record's runs
+    first, last = np.repeat(first, times[record]), np.repeat(last, times[record])
+    runs = np.stack([spot[where] - last, spot[where] - first], 1)
+    order = np.lexsort((runs[:, 0], rid[where]))
+    rid, runs = rid[where][order], runs[order]
+    # runs that touch become one
+    new = np.ones(len(rid), bool)
+    new[1:] = (rid[1:] != rid[:-1]) | (runs[1:, 0] > runs[:-1, 1] + 1)
+    heads = np.flatnonzero(new)
+    merged = np.stack([runs[heads, 0], np.maximum.reduceat(runs[:, 1], heads)], 1) if len(heads) else np.empty((0, 2), np.int64)
+    ids, cut = np.unique(rid[heads], return_index=True)
+    return pa.table({"rid": pa.array(ids, pa.int64()), "runs": pa.array([x.tobytes() for x in np.split(merged, cut[1:])] if len(ids) else [], pa.binary())})
 
 
 def covered(runs: np.ndarray) -> np.ndarray:
