@@ -20,7 +20,7 @@ LOOSE_LAYOUTS = (
     "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy",
 )
 LOOSE_SHAPE = "[:A-Za-z]"
-# Dates outside these years are not representable in nanoseconds and count as unreadable.
+# Days that a count of nanoseconds can hold, for callers that need such dates.
 EARLIEST, LATEST = "1677-09-22", "2262-04-11"
 
 # Shape of a date text, by its first characters.
@@ -62,11 +62,12 @@ def to_identifier(column: Column) -> Column:
     return trimmed(column.cast("string")).try_cast("decimal(38,6)").try_cast("decimal(20,0)")
 
 
-def to_date_flexible(column: Column) -> Column:
+def to_date_flexible(column: Column, within: tuple[str, str] | None = None) -> Column:
     """Date from any of the known layouts; the first layout that fits wins.
 
     A layout only sees texts of its shape: a parser that fails costs far more than a pattern.
-    Columns that are dates or timestamps already pass through their ISO text.
+    Columns that are dates or timestamps already pass through their ISO text.  Dates outside ``within``,
+    if given, count as unreadable.
     """
     text = trimmed(column.cast("string"))
     iso = text.rlike(DATE_LAYOUTS[0][1])
@@ -74,7 +75,7 @@ def to_date_flexible(column: Column) -> Column:
     tries += [F.when(text.rlike(shape), F.try_to_date(text, layout)) for layout, shape in DATE_LAYOUTS[1:]]
     loose = F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)).cast("date") for layout in LOOSE_LAYOUTS])
     parsed = F.coalesce(*tries, F.when(text.rlike(LOOSE_SHAPE), loose))
-    return F.when(parsed.between(F.lit(EARLIEST).cast("date"), F.lit(LATEST).cast("date")), parsed)
+    return F.when(parsed.between(*[F.lit(d).cast("date") for d in within]), parsed) if within else parsed
 
 
 def date_shape(column: Column) -> Column:

@@ -17,9 +17,6 @@ from sievework.operators.clusters import Clustering
 from sievework.operators.quantiles import EXACT_ROWS
 from sievework.operators.scores import numeric_columns
 
-OUTLIER_COLUMNS = 5
-SERIES_COLUMNS = 3
-
 
 def all_anomalies(
     df: DataFrame,
@@ -32,18 +29,17 @@ def all_anomalies(
     """Statistical, time-series, geographic, compliance and emission checks.
 
     ``tie`` makes the time order unique.  Columns are found by type and by whole words of their names
-    unless given: five numeric columns for outliers, three for series, the first year or date column,
-    the first latitude and longitude.
+    unless given: all numeric columns for outliers and series, the first year or date column, the first
+    latitude and longitude.
     """
     columns = df.columns
     numeric = list(numeric if numeric is not None else numeric_columns(df))
     found: list[DataFrame] = []
     if numeric:
-        looked_at = numeric[:OUTLIER_COLUMNS]
-        found.append(outliers.outlier_summary(df, outliers.outlier_tests(df, looked_at, exact_rows=exact_rows), looked_at))
+        found.append(outliers.outlier_summary(df, outliers.outlier_tests(df, numeric, exact_rows=exact_rows), numeric))
     time = time or next((c for c in columns if has_token(c, "year", "date")), None)
     if time and numeric:
-        found += series.series_summaries(df, [time, *[t for t in tie if t != time]], [c for c in numeric[:SERIES_COLUMNS] if c != time])
+        found += series.series_summaries(df, [time, *[t for t in tie if t != time]], [c for c in numeric if c != time])
     latitude, longitude = coordinate_pair(columns)
     checks = rowwise.compliance_detectors(columns)
     if latitude and longitude:
@@ -57,7 +53,7 @@ def all_anomalies(
             found.append(
                 series.detector_summary(
                     series.year_spikes(df, facility, order, "annual_emission_amount"), df, "emission_spikes",
-                    "emission_anomaly", "annual_emission_amount", part, "Emission spikes (>1000% increase)",
+                    "emission_anomaly", "annual_emission_amount", part, "Emissions more than eleven times the year before",
                 )
             )
     if checks:

@@ -189,7 +189,7 @@ class Clustering:
             {
                 "detector_name": F.lit("geographic_clustering"), "anomaly_type": F.lit("clustering_anomaly"),
                 "column_name": F.lit(None).cast("string"), "severity_score": severity,
-                "description": F.lit("Geographic clustering outliers" + counted),
+                "description": F.lit("Points that belong to no cluster" + counted),
             }
         )
         return with_rate(row)

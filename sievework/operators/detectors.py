@@ -92,7 +92,7 @@ def impossible_locations(latitude: str, longitude: str) -> Detector:
     tests |= (decimal_places(F.col(latitude)) > MAX_DECIMALS) | (decimal_places(F.col(longitude)) > MAX_DECIMALS)
     return Detector(
         "impossible_locations", "geographic_impossible", tests, lat.isNotNull() & lon.isNotNull(),
-        description="Impossible or suspicious geographic coordinates",
+        description="Points outside the globe or at a placeholder position",
     )
 
 
@@ -102,7 +102,7 @@ def coarse_locations(latitude: str, longitude: str) -> Detector:
     coarse = ((decimal_places(F.col(latitude)) < MIN_DECIMALS) & (lat != 0)) | ((decimal_places(F.col(longitude)) < MIN_DECIMALS) & (lon != 0))
     return Detector(
         "coordinate_precision", "precision_anomaly", coarse, lat.isNotNull() & lon.isNotNull(),
-        description="Coordinate precision anomalies (overly rounded coordinates)", scale=2.0,
+        description="Points given with too few decimals", scale=2.0,
     )
 
 
@@ -113,14 +113,14 @@ def _count(name: str) -> Column:
 def violations_without_inspections(violations: str = "violation_count", inspections: str = "inspection_count") -> Detector:
     return Detector(
         "violations_without_inspections", "compliance_anomaly", (_count(violations) > 0) & (_count(inspections) == 0),
-        F.lit(True), description="Facilities with violations but no recorded inspections",
+        F.lit(True), description="Violations on record, yet nobody inspected",
     )
 
 
 def excessive_penalties(penalty: str = "penalty_amount") -> Detector:
     return Detector(
         "excessive_penalties", "compliance_anomaly", F.col(penalty) > PENALTY_ABOVE, F.col(penalty).isNotNull(),
-        column=penalty, description="Excessive penalty amounts (>$1,000,000 threshold)",
+        column=penalty, description="Penalties above one million dollars",
     )
 
 
@@ -131,7 +131,7 @@ def status_contradictions(status: str = "compliance_status", violations: str = "
     bad = (_count(violations) == 0) & word.isin("NON-COMPLIANT", "VIOLATION", "SNC")
     return Detector(
         "compliance_inconsistencies", "compliance_anomaly", good | bad, F.lit(True),
-        description="Compliance status inconsistent with violation counts",
+        description="Status and number of violations contradict each other",
     )
 
 
@@ -139,7 +139,7 @@ def zero_emissions(emission: str = "annual_emission_amount") -> Detector:
     """Zero or near-zero emissions, reported when they are more than half of all values."""
     return Detector(
         "zero_emissions", "emission_anomaly", F.col(emission) <= ZERO_UP_TO, F.col(emission).isNotNull(),
-        column=emission, description="High rate of zero/near-zero emissions", scale=2.0, gate=MANY_ZEROS,
+        column=emission, description="Unusually many emissions at or near zero", scale=2.0, gate=MANY_ZEROS,
     )
 
 

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from sievework.functions import codes
 from sievework.functions.scoring import outside, share
 
-NULL_ROW_COLUMNS = 5
-COMPLETENESS_COLUMNS = 10
 COMPLETE_FROM = 80.0
 FAST_ABOVE = 1000.0
 FRESH_DAYS = 7
@@ -28,11 +26,11 @@ def integrity(
     df: DataFrame, table: str, primary_key: str | None = None, required: Sequence[str] = (),
     latitude: str | None = None, longitude: str | None = None,
 ) -> DataFrame:
-    """Rows without any of the first five columns, key duplicates, missing fields, bad coordinates,
-    and mean completeness of the first ten columns, all in one pass."""
+    """Rows without any value, key duplicates, missing fields, bad coordinates, and mean completeness of
+    all columns, all in one pass."""
     rows = F.count(F.lit(1))
     checks: list[tuple[str, Column, str]] = [
-        ("null_rows", F.count_if(reduce(and_, [F.col(c).isNull() for c in df.columns[:NULL_ROW_COLUMNS]])), "WARN")
+        ("null_rows", F.count_if(reduce(and_, [F.col(c).isNull() for c in df.columns])), "WARN")
     ]
     if primary_key:
         checks.append(("primary_key_duplicates", F.count(F.col(primary_key)) - F.count_distinct(F.col(primary_key)), "FAIL"))
@@ -41,8 +39,7 @@ def integrity(
         checks.append(("invalid_latitude", F.count_if(outside(F.col(latitude), codes.LATITUDE_RANGE)), "FAIL"))
     if longitude:
         checks.append(("invalid_longitude", F.count_if(outside(F.col(longitude), codes.LONGITUDE_RANGE)), "FAIL"))
-    head = df.columns[:COMPLETENESS_COLUMNS]
-    filled = reduce(add, [share(F.count(F.col(c)), rows) for c in head]) / len(head)
+    filled = reduce(add, [share(F.count(F.col(c)), rows) for c in df.columns]) / len(df.columns)
     counted = df.agg(*[c.cast("double").alias(f"c{i}") for i, (_, c, _) in enumerate(checks)], filled.alias("filled"))
     cells = [
         F.struct(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import similarity
+from sievework.sources.tables import newest_per_key
 
 # Least similarities as fractions, so that lengths and edit counts are computed in whole numbers.
 NAME_FROM = (17, 20)
@@ -19,11 +20,13 @@ CROWDED = 200
 def merge_masters(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """One master from two: all keys of both, values of the first where it has them.
 
+    A master has one row per complete key; of repeated ones the last by all other columns stays.
     ``found_in`` tells where a key came from; rows without a complete key match nothing and stay.  A
     full outer join cannot split a frequent key and sends all rows without one to a single task, so
     matches and the rows left over on either side are found by joins that can.
     """
     columns = list(dict.fromkeys([*first.columns, *second.columns]))
+    first, second = newest_per_key(first, keys), newest_per_key(second, keys)
     a, b = first.alias("a"), second.alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
     picked: list[Column] = []

@@ -71,7 +71,7 @@ def required_fields(columns: Columns, table: str, fields: Sequence[str] | None =
         f"required_fields_{table}",
         reduce(or_, tests, F.lit(False)),
         severity=CRITICAL,
-        message="Missing required fields: " + ", ".join(wanted),
+        message="Required values absent: " + ", ".join(wanted),
         finding_type="MISSING_VALUE",
         group="required",
     )
@@ -80,7 +80,7 @@ def required_fields(columns: Columns, table: str, fields: Sequence[str] | None =
 def numeric_type(field: str, schema: T.StructType | None = None) -> Rule:
     return Rule(
         f"numeric_type_{field}", F.col(field).isNotNull() & number_in(schema, field).isNull(),
-        message=f"Invalid numeric values in {field}", column=field, finding_type="INVALID_FORMAT", group="type",
+        message=f"Not a number: {field}", column=field, finding_type="INVALID_FORMAT", group="type",
     )
 
 
@@ -89,7 +89,7 @@ def date_type(field: str, as_of: datetime, schema: T.StructType | None = None) -
     parsed = date_in(schema, field)
     earliest, latest = F.lit(f"{codes.FIRST_YEAR}-01-01").cast("date"), F.lit((as_of + timedelta(days=365)).date())
     bad = F.col(field).isNotNull() & (parsed.isNull() | (parsed < earliest) | (parsed > latest))
-    return Rule(f"date_type_{field}", bad, message=f"Invalid dates in {field}", column=field, finding_type="INVALID_FORMAT", group="type")
+    return Rule(f"date_type_{field}", bad, message=f"Not a date: {field}", column=field, finding_type="INVALID_FORMAT", group="type")
 
 
 def text_format(field: str) -> Rule:
@@ -103,7 +103,7 @@ def text_format(field: str) -> Rule:
         bad = ~F.upper(value).isin(*codes.STATE_CODES)
     else:
         bad = value == ""
-    return Rule(f"string_format_{field}", bad, message=f"Invalid format in {field}", column=field, finding_type="INVALID_FORMAT", group="type")
+    return Rule(f"string_format_{field}", bad, message=f"Not of the declared form: {field}", column=field, finding_type="INVALID_FORMAT", group="type")
 
 
 def data_types(columns: Columns, as_of: datetime) -> list[Rule]:
@@ -135,14 +135,14 @@ def business(columns: Columns, as_of: datetime) -> list[Rule]:
     if "epa_region" in present:
         region = number_in(schema, "epa_region").try_cast("bigint")
         bad = F.col("epa_region").isNotNull() & (region.isNull() | outside(region, codes.REGION_RANGE))
-        rules.append(Rule("epa_regions", bad, message="Invalid EPA regions", column="epa_region"))
+        rules.append(Rule("epa_regions", bad, message="No region of that number", column="epa_region"))
     if "state_code" in present:
-        rules.append(member("state_codes", "state_code", codes.STATE_CODES, "Invalid state codes", ignore_case=True))
+        rules.append(member("state_codes", "state_code", codes.STATE_CODES, "No such state code", ignore_case=True))
     for field in YEAR_FIELDS:
         if field in present:
             rules.append(ranged(f"year_range_{field}", field, (codes.FIRST_YEAR, as_of.year), f"Invalid year range in {field}", schema))
     if "annual_emission_amount" in present:
-        rules.append(ranged("emission_ranges", "annual_emission_amount", codes.EMISSION_RANGE, "Invalid emission ranges", schema))
+        rules.append(ranged("emission_ranges", "annual_emission_amount", codes.EMISSION_RANGE, "Emission outside the allowed range", schema))
     for field in FLOW_FIELDS:
         if field in present:
             rules.append(ranged(f"flow_ranges_{field}", field, codes.FLOW_RANGE, f"Invalid flow ranges in {field}", schema))
@@ -161,13 +161,13 @@ def date_order(earlier: str, later: str, name: str = "permit_date_logic", schema
 def both_or_none(first: str, second: str, name: str = "coordinate_consistency") -> Rule:
     return Rule(
         name, F.col(first).isNull() != F.col(second).isNull(),
-        message="Inconsistent coordinate data (lat without lon or vice versa)", finding_type="BUSINESS_RULE", group="cross",
+        message="Only one of two coordinates is given", finding_type="BUSINESS_RULE", group="cross",
     )
 
 
 def not_above(value: str, limit: str, name: str = "flow_consistency", schema: T.StructType | None = None) -> Rule:
     return Rule(
-        name, number_in(schema, value) > number_in(schema, limit), message="Actual flow exceeds design flow",
+        name, number_in(schema, value) > number_in(schema, limit), message="More flow than the design allows",
         finding_type="BUSINESS_RULE", group="cross",
     )
 

@@ -140,18 +140,19 @@ def uniqueness(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     )
 
 
-def _age_days(df: DataFrame, column: str, as_of: datetime) -> Column:
-    """Whole days between a value and ``as_of``, rounded down; null when unreadable."""
-    kind = df.schema[column].dataType
-    value = F.col(column)
-    moment = (to_date_flexible(value) if isinstance(kind, T.StringType) else value).cast("timestamp")
-    return F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(moment)) / 86_400_000_000)
-
-
-def _current(df: DataFrame, column: str, as_of: datetime, days: int) -> Column:
-    value = F.col(column)
-    moment = (to_date_flexible(value) if isinstance(df.schema[column].dataType, T.StringType) else value).cast("timestamp")
-    age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(moment)
+def _newest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The newest readable moment of a row; null when none is readable."""
+    moments = [(to_date_flexible(F.col(c)) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)).cast("timestamp") for c in columns]
+    return F.greatest(*moments) if len(moments) > 1 else moments[0]
+
+
+def _age_days(df: DataFrame, columns: Sequence[str], as_of: datetime) -> Column:
+    """Whole days between a row's newest date and ``as_of``, rounded down; null when unreadable."""
+    return F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(_newest(df, columns))) / 86_400_000_000)
+
+
+def _current(df: DataFrame, columns: Sequence[str], as_of: datetime, days: int) -> Column:
+    age = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(_newest(df, columns))
     return F.count_if(age <= days * 86_400_000_000)
 
 
@@ -160,7 +161,8 @@ def date_columns(df: DataFrame) -> list[str]:
 
 
 def timeliness(df: DataFrame, as_of: datetime, dates: Sequence[str] | None = None, days: int = CURRENT_DAYS) -> DataFrame:
-    """Share of rows at most ``days`` old among the readable dates of the first date column.
+    """Share of rows at most ``days`` old among the rows with a readable date; of several date columns
+    a row's newest date counts.
 
     Future dates count as current.  Without a date column everything is current.
     """
@@ -170,8 +172,8 @@ def timeliness(df: DataFrame, as_of: datetime, dates: Sequence[str] | None = Non
             _rows().alias("total_records"), _rows().alias("current_records"),
             F.when(_rows() > 0, 100.0).otherwise(0.0).alias("timeliness_score"), F.lit(0.0).alias("avg_data_age_days"),
         )
-    age = _age_days(df, found[0], as_of)
-    current = _current(df, found[0], as_of, days)
+    age = _age_days(df, found, as_of)
+    current = _current(df, found, as_of, days)
     return df.agg(
         _rows().alias("total_records"),
         current.alias("current_records"),
@@ -240,8 +242,8 @@ def quality(
         "valid_records": _numbers_valid(df),
         "consistency_violations": _violations(df, None).cast("bigint"),
         "unique_records": _distinct_rows(keyed) if keyed else _rows(),
-        "current_records": _current(df, found[0], as_of, CURRENT_DAYS) if found else _rows(),
-        "dated_records": F.count(_age_days(df, found[0], as_of)) if found else _rows(),
+        "current_records": _current(df, found, as_of, CURRENT_DAYS) if found else _rows(),
+        "dated_records": F.count(_age_days(df, found, as_of)) if found else _rows(),
     }
     row = df.agg(*[c.alias(n) for n, c in measures.items()])
     total = F.col("total_records")

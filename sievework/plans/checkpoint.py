@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from sievework.functions.scoring import share
 from sievework.operators import detectors as rowwise
+from sievework.functions.text import has_token
 from sievework.operators import findings as finding
 from sievework.operators import outliers, rulebook, rules, scores
 from sievework.operators.anomalies import all_anomalies
 from sievework.operators.quantiles import EXACT_ROWS
 from sievework.session import settle
 
-TRANSFORM_OUTLIER_COLUMNS = 3
-
 
 @dataclass(frozen=True)
 class QaRun:
@@ -34,8 +33,8 @@ def run_stage(
 ) -> QaRun:
     """QA of one stage.
 
-    extract: required fields and types.  transform: business and cross-field rules, outliers of three
-    numeric columns.  load: all rules and the compliance detectors.  Any other stage: everything.
+    extract: required fields and types.  transform: business and cross-field rules, outliers of all
+    numeric columns that are no ids.  load: all rules and the compliance detectors.  Any other stage: everything.
 
     Results are kept as soon as they are computed (a row per check), so that findings, statistics,
     gate and reports made from them do not scan the data again.
@@ -45,7 +44,7 @@ def run_stage(
     results = settle(rules.evaluate(df, book)) if book else None
     anomalies = None
     if stage.lower() == "transform":
-        numeric = scores.numeric_columns(df)[:TRANSFORM_OUTLIER_COLUMNS]
+        numeric = [c for c in scores.numeric_columns(df) if not has_token(c, "id")]
         if numeric:
             anomalies = outliers.outlier_summary(df, outliers.outlier_tests(df, numeric, exact_rows=exact_rows), numeric)
     elif stage.lower() == "load":

@@ -87,7 +87,7 @@ def load_source(spark: SparkSession, tables: Tables, raw: DataFrame, source: Sou
         for target in targets_of(source):
             tables.append(load_core(tables, target, batch_id, as_of), "data_lineage")
     except Exception as problem:
-        tables.append(runlog.close_batch(spark, batch_id, "FAILED", as_of, error=str(problem)[:2000]), "etl_run_log")
+        tables.append(runlog.close_batch(spark, batch_id, "FAILED", as_of, error=str(problem)), "etl_run_log")
         raise
     tables.append(runlog.close_batch(spark, batch_id, "SUCCESS", as_of, processed=staged, inserted=staged), "etl_run_log")
     return True

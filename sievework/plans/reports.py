@@ -45,13 +45,13 @@ def critical_issues(validation: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Issue rows: critical rule failures, and detectors with a severity above 0.8."""
     strict = validation.filter("critical_count > 0").select(
         F.lit("CRITICAL_VALIDATION_ERRORS").alias("issue_type"), F.col("critical_count").alias("issue_count"),
-        F.lit("HIGH").alias("priority"), F.concat(F.col("critical_count").cast("string"), F.lit(" critical validation errors detected")).alias("description"),
-        F.lit("Immediate investigation and correction required").alias("recommended_action"),
+        F.lit("HIGH").alias("priority"), F.concat(F.col("critical_count").cast("string"), F.lit(" records break critical rules")).alias("description"),
+        F.lit("Correct these records, or hold the load back until they are").alias("recommended_action"),
     )
     severe = anomalies.agg(F.count_if(F.col("severity_score") > 0.8).alias("n")).filter("n > 0").select(
         F.lit("HIGH_SEVERITY_ANOMALIES").alias("issue_type"), F.col("n").alias("issue_count"), F.lit("MEDIUM").alias("priority"),
-        F.concat(F.col("n").cast("string"), F.lit(" high-severity anomalies detected")).alias("description"),
-        F.lit("Review anomalies and validate data sources").alias("recommended_action"),
+        F.concat(F.col("n").cast("string"), F.lit(" detectors report a severity above 0.8")).alias("description"),
+        F.lit("Look at the flagged rows and at the extract they came from").alias("recommended_action"),
     )
     return strict.unionByName(severe)
 
@@ -59,19 +59,19 @@ def critical_issues(validation: DataFrame, anomalies: DataFrame) -> DataFrame:
 def recommendations(performance: DataFrame, validation: DataFrame) -> DataFrame:
     """Advice rows: score below 80, pass rate below 95."""
     score = performance.filter(F.col("average_quality_score") < SCORE_TARGET).select(
-        F.lit("DATA_QUALITY").alias("category"), F.lit("HIGH").alias("priority"), F.lit("Improve Overall Data Quality").alias("title"),
-        F.concat(F.lit("Current quality score ("), fixed_point(F.col("average_quality_score")), F.lit(") is below target (80%)")).alias("description"),
+        F.lit("DATA_QUALITY").alias("category"), F.lit("HIGH").alias("priority"), F.lit("Raise the average quality score").alias("title"),
+        F.concat(F.lit("The average score is "), fixed_point(F.col("average_quality_score")), F.lit(", under the aim of 80")).alias("description"),
         F.array(
-            F.lit("Review and enhance data validation rules"), F.lit("Implement automated data cleansing procedures"),
-            F.lit("Establish data quality monitoring dashboards"),
+            F.lit("Start with the rules that most rows break"), F.lit("Add cleaning steps for the columns these rules look at"),
+            F.lit("Follow the score of every load over time"),
         ).alias("actions"),
     )
     passed = validation.filter(F.col("overall_pass_rate") < PASS_RATE_TARGET).select(
-        F.lit("VALIDATION").alias("category"), F.lit("MEDIUM").alias("priority"), F.lit("Enhance Validation Coverage").alias("title"),
-        F.lit("Validation pass rate is below optimal threshold").alias("description"),
+        F.lit("VALIDATION").alias("category"), F.lit("MEDIUM").alias("priority"), F.lit("Let more rules pass").alias("title"),
+        F.lit("Fewer than 95 of 100 rules pass").alias("description"),
         F.array(
-            F.lit("Review failed validation rules"), F.lit("Update validation thresholds if appropriate"),
-            F.lit("Implement additional business rule validations"),
+            F.lit("Find out which rules fail in every load"), F.lit("Adapt limits that valid rows exceed"),
+            F.lit("Add rules for defects that users report"),
         ).alias("actions"),
     )
     return score.unionByName(passed)
@@ -81,18 +81,18 @@ def alerts(performance: DataFrame, validation: DataFrame, anomalies: DataFrame,
     """Alert rows: score below 70, any critical error, more than 100 anomalies."""
     low = performance.filter(F.col("average_quality_score") < SCORE_ALERT_BELOW).select(
         F.lit("QUALITY_SCORE_LOW").alias("alert_type"), F.lit("WARNING").alias("severity"),
-        F.concat(F.lit("Quality score ("), fixed_point(F.col("average_quality_score")), F.lit(") below threshold (70.0)")).alias("message"),
-        F.lit("Review data quality issues and implement corrections").alias("recommended_action"),
+        F.concat(F.lit("The average score is "), fixed_point(F.col("average_quality_score")), F.lit(", under the limit of 70")).alias("message"),
+        F.lit("Work through the findings of the newest run").alias("recommended_action"),
     )
     critical = validation.filter("critical_count > 0").select(
         F.lit("CRITICAL_ERRORS").alias("alert_type"), F.lit("CRITICAL").alias("severity"),
-        F.concat(F.col("critical_count").cast("string"), F.lit(" critical validation errors detected")).alias("message"),
-        F.lit("Immediate investigation required").alias("recommended_action"),
+        F.concat(F.col("critical_count").cast("string"), F.lit(" records break critical rules")).alias("message"),
+        F.lit("Stop the load and look at the failing records").alias("recommended_action"),
     )
     many = anomalies.filter(F.col("anomalies_found") > ANOMALY_ALERT_ABOVE).select(
         F.lit("HIGH_ANOMALY_COUNT").alias("alert_type"), F.lit("WARNING").alias("severity"),
-        F.concat(F.col("anomalies_found").cast("string"), F.lit(" anomalies detected (threshold: 100)")).alias("message"),
-        F.lit("Review anomaly patterns and data sources").alias("recommended_action"),
+        F.concat(F.col("anomalies_found").cast("string"), F.lit(" anomalies, more than the 100 allowed")).alias("message"),
+        F.lit("Compare the anomalies by type with earlier runs").alias("recommended_action"),
     )
     return low.unionByName(critical).unionByName(many).withColumn("ts", F.lit(as_of))
 

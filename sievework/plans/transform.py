@@ -52,7 +52,7 @@ def after_dedup(df: DataFrame, source: Source, as_of: datetime) -> DataFrame:
 def transform(df: DataFrame, source: Source, as_of: datetime) -> DataFrame:
     """The whole transformation of one source; ``as_of`` stands for now."""
     ready = before_dedup(df, source)
-    kept = remove_duplicates(ready, order_of(ready))
+    kept = remove_duplicates(ready, order_of(ready), source.snake(source.row_key) or None)
     return after_dedup(kept, source, as_of).drop(*ORDER_COLUMNS)
 
 

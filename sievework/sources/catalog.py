@@ -27,6 +27,7 @@ class Source:
     rules: dict[str, Any] = field(default_factory=dict)
     encoding: str = "UTF-8"
     delimiter: str = ","
+    row_key: tuple[str, ...] = ()  # what one row is about; empty: found by name
 
     @property
     def numeric(self) -> tuple[str, ...]:
@@ -153,6 +154,7 @@ SOURCES: dict[str, Source] = {
                 "REPORTING_YEAR", "REGISTRY_ID", "PGM_SYS_ACRNM", "PGM_SYS_ID", "POLLUTANT_NAME",
                 "ANNUAL_EMISSION", "UNIT_OF_MEASURE", "NEI_TYPE", "NEI_HAP_VOC_FLAG",
             ),
+            row_key=("REGISTRY_ID", "REPORTING_YEAR", "POLLUTANT_NAME", "PGM_SYS_ACRNM", "PGM_SYS_ID"),
             required=("REPORTING_YEAR", "REGISTRY_ID", "POLLUTANT_NAME", "ANNUAL_EMISSION"),
             types={"REPORTING_YEAR": "integer", "REGISTRY_ID": "identifier", "ANNUAL_EMISSION": "numeric"},
             rules={

@@ -162,10 +162,19 @@ class Tables:
 
 
 def newest_per_key(source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """One row per key, the last one by ``order`` (all columns by default)."""
+    """One row per complete key, the last one by ``order`` (all columns by default).
+
+    A key with a null is never in conflict with another: all such rows stay.
+    """
     from sievework.operators.dedup import keep_last
 
-    return keep_last(source, keys, order or [c for c in source.columns if c not in keys] or keys)
+    whole = complete(keys)
+    kept = keep_last(source.filter(whole), keys, order or [c for c in source.columns if c not in keys] or keys)
+    return kept.unionByName(source.filter(~whole))
+
+
+def complete(keys: list[str]):
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -177,7 +186,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list[st
     """
     fresh = newest_per_key(source, keys, order)
     same = lambda left, right: reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-    incoming = fresh.select(*keys)
+    incoming = fresh.filter(complete(keys)).select(*keys)
     kept = target.join(incoming, same(target, incoming), "left_anti")
     created = [c for c in target.columns if c.startswith("created_") and c in fresh.columns]
     if created:

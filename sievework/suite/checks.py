@@ -406,10 +406,10 @@ def uniqueness(spark, sf):
 @query(
     "row_uniqueness",
     """SELECT n AS total_records, u AS unique_records, round(u * 100e0 / n, 6) AS uniqueness_score, n - u AS duplicate_count
-    FROM (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_returnflag, l_quantity FROM lineitem)) AS u FROM lineitem) AS t""",
+    FROM (SELECT count(*) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS u FROM lineitem) AS t""",
 )
 def row_uniqueness(spark, sf):
-    return rounded(scores.uniqueness(table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity")))
+    return rounded(scores.uniqueness(table(spark, sf, "lineitem")))
 
 
 @query(
@@ -584,20 +584,23 @@ def profile_totals(spark, sf):
 
 
 def integrity_sql(frame_name: str, label: str, columns: list[str], key: str, required: list[str], lat: str | None, lon: str | None) -> str:
-    nulls = " AND ".join(f"{c} IS NULL" for c in columns[:5])
+    nulls = " AND ".join(f"{c} IS NULL" for c in columns)
     parts = [("null_rows", f"count(*) FILTER (WHERE {nulls})", "WARN"), ("primary_key_duplicates", f"count({key}) - count(DISTINCT {key})", "FAIL")]
     parts += [(f"missing_{c}", f"count(*) FILTER (WHERE {c} IS NULL)", "WARN") for c in required]
     if lat:
         parts += [("invalid_latitude", f"count(*) FILTER (WHERE {lat} < -90 OR {lat} > 90)", "FAIL"), ("invalid_longitude", f"count(*) FILTER (WHERE {lon} < -180 OR {lon} > 180)", "FAIL")]
     rows = [f"SELECT '{label}' AS table_name, '{n}' AS check_name, CAST({c} AS DOUBLE) AS value, CASE WHEN {c} = 0 THEN 'PASS' ELSE '{w}' END AS status FROM {frame_name}" for n, c, w in parts]
-    filled = "(" + " + ".join(f"count({c})" for c in columns[:10]) + f") * 100e0 / count(*) / {len(columns[:10])}"
+    filled = "(" + " + ".join(f"count({c})" for c in columns) + f") * 100e0 / count(*) / {len(columns)}"
     rows.append(f"SELECT '{label}', 'average_completeness', round({filled}, 6), CASE WHEN {filled} >= 80 THEN 'PASS' ELSE 'WARN' END FROM {frame_name}")
     return " UNION ALL ".join(rows)
 
 
-FACILITY_COLUMNS = "facility_id registry_id facility_name state_code latitude longitude epa_region annual_emission_amount ph_level measurement_year".split()
+CHECKED_COLUMNS = (
+    "facility_id registry_id facility_name state_code latitude longitude epa_region annual_emission_amount ph_level measurement_year npdes_id compliance_violations "
+    "violation_count inspection_count compliance_status penalty_amount data_quality_score"
+).split()
 EMISSION_COLUMNS = "facility_id registry_id reporting_year pollutant_name annual_emission_amount unit_of_measure program_system_acronym l_orderkey l_linenumber l_partkey".split()
-_FACILITY_CHECK = integrity_sql("f", "facilities", FACILITY_COLUMNS, "facility_id", ["facility_name", "state_code"], "latitude", "longitude")
+_FACILITY_CHECK = integrity_sql("f", "facilities", CHECKED_COLUMNS, "facility_id", ["facility_name", "state_code"], "latitude", "longitude")
 _EMISSION_CHECK = integrity_sql("e", "air_emissions", EMISSION_COLUMNS, "l_orderkey", ["registry_id", "reporting_year", "pollutant_name"], None, None)
 
 

@@ -119,7 +119,10 @@ _TRANSFORM_OUTLIERS = cte(f=FACILITIES) + " UNION ALL ".join(
     f"""SELECT count(*) FILTER (WHERE abs((x - m) / d) > 3) AS anomaly_count FROM (SELECT {c} AS x, (SELECT avg({c}) FROM f) AS m, (SELECT stddev_pop({c}) FROM f) AS d FROM f) AS t
     UNION ALL SELECT count(*) FILTER (WHERE x < a - 1.5e0 * (b - a) OR x > b + 1.5e0 * (b - a)) FROM (SELECT {c} AS x, (SELECT quantile_cont({c}, 0.25) FROM f) AS a, (SELECT quantile_cont({c}, 0.75) FROM f) AS b FROM f) AS t
     UNION ALL SELECT count(*) FILTER (WHERE abs((x - m) * 0.6745e0 / d) > 3.5e0) FROM (SELECT {c} AS x, (SELECT median({c}) FROM f) AS m, (SELECT median(abs({c} - (SELECT median({c}) FROM f))) FROM f) AS d FROM f) AS t"""
-    for c in ("facility_id", "latitude", "longitude")
+    for c in (
+        "latitude", "longitude", "epa_region", "annual_emission_amount", "ph_level", "measurement_year", "compliance_violations", "violation_count", "inspection_count",
+        "penalty_amount", "data_quality_score",
+    )
 )
 _TRANSFORM = judged_sql(counts_sql("facilities_transform", cte(f=FACILITIES) + rules_sql("f", checks_of(FACILITY_CHECKS, "transform")), _TRANSFORM_OUTLIERS))
 _LOAD = judged_sql(counts_sql("facilities_load", _FACILITY_RESULTS, _DETECTED))
@@ -290,8 +293,8 @@ def executive_summary(spark, sf):
 
 @query(
     "critical_issues",
-    f"""SELECT 'CRITICAL_VALIDATION_ERRORS' AS issue_type, critical_count AS issue_count, 'HIGH' AS priority, critical_count || ' critical validation errors detected' AS description FROM ({_SUMMARY}) AS v WHERE critical_count > 0
-    UNION ALL SELECT 'HIGH_SEVERITY_ANOMALIES', severe, 'MEDIUM', severe || ' high-severity anomalies detected' FROM ({_FOUND}) AS a WHERE severe > 0""",
+    f"""SELECT 'CRITICAL_VALIDATION_ERRORS' AS issue_type, critical_count AS issue_count, 'HIGH' AS priority, critical_count || ' records break critical rules' AS description FROM ({_SUMMARY}) AS v WHERE critical_count > 0
+    UNION ALL SELECT 'HIGH_SEVERITY_ANOMALIES', severe, 'MEDIUM', severe || ' detectors report a severity above 0.8' FROM ({_FOUND}) AS a WHERE severe > 0""",
 )
 def critical_issues(spark, sf):
     checked = rules.summary(results_of(spark, sf, FACILITIES, "facilities"))
@@ -300,8 +303,8 @@ def critical_issues(spark, sf):
 
 @query(
     "recommendations",
-    f"""SELECT 'DATA_QUALITY' AS category, 'HIGH' AS priority, 'Improve Overall Data Quality' AS title, CAST(3 AS BIGINT) AS steps FROM ({_PERFORMANCE}) AS p WHERE average_quality_score < 80
-    UNION ALL SELECT 'VALIDATION', 'MEDIUM', 'Enhance Validation Coverage', 3 FROM ({_SUMMARY}) AS v WHERE overall_pass_rate < 95""",
+    f"""SELECT 'DATA_QUALITY' AS category, 'HIGH' AS priority, 'Raise the average quality score' AS title, CAST(3 AS BIGINT) AS steps FROM ({_PERFORMANCE}) AS p WHERE average_quality_score < 80
+    UNION ALL SELECT 'VALIDATION', 'MEDIUM', 'Let more rules pass', 3 FROM ({_SUMMARY}) AS v WHERE overall_pass_rate < 95""",
 )
 def recommendations(spark, sf):
     checked = rules.summary(results_of(spark, sf, FACILITIES, "facilities"))
