@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score of every row; a column of that name is replaced."""
-    names = {n: f"_quality_{n}" for n in model.names}
-    measured = docs.select("*", *[c.alias(names[n]) for n, c in statistics(F.col(text)).items()])
+    stats = F.struct(*[c.alias(n) for n, c in statistics(F.col(text)).items()])
+    # inside the lambda the statistics have a name, so that no optimiser rule copies them into every test of a rule
+    scored = F.transform(F.array(stats), lambda row: model.column({n: row[n] for n in model.names}))[0]
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
-    return measured.select(*kept, model.column({n: F.col(c) for n, c in names.items()}).alias(out))
+    return docs.select(*kept, scored.alias(out))
