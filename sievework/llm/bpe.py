@@ -197,7 +197,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     ``path`` is a vocabulary file that every executor has.  The new columns replace ones of the same name.  A null
     text gives empty ids; the number of tokens is a quarter of the binary's length.
     """
-    new = [ids] + [decoded] * bool(decoded)
+    new = [ids, decoded] if decoded else [ids]
     kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     place = kept.index(text)
@@ -214,7 +214,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                     arrays.append(pa.array([encoder.decode(c) for c in coded], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [*kept, *new])
 
-    fields = [*source.schema.fields, T.StructField(ids, T.BinaryType())] + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    fields = [*source.schema.fields, T.StructField(ids, T.BinaryType())]
+    if decoded:
+        fields.append(T.StructField(decoded, T.StringType()))
     return source.mapInArrow(work, T.StructType(fields))
 
 
