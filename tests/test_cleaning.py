@@ -5,7 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.functions.parsing import decimal_places, to_date_flexible, to_identifier, to_number, to_whole
+from sievework.functions.parsing import EARLIEST, LATEST, decimal_places, to_date_flexible, to_identifier, to_number, to_whole
 from sievework.functions.scoring import region_from_position, unit_factor, unit_name
 from sievework.functions.text import clean_name, has_token, search_tokens, similarity, snake_case
 from sievework.operators import cleaning
@@ -51,9 +51,10 @@ def test_dates(spark):
     cases = {
         "2023-01-05": date(2023, 1, 5), "2023-1-5": date(2023, 1, 5), "06/11/2002": date(2002, 6, 11), "6-1-2002": date(2002, 6, 1), "2023/02/03": date(2023, 2, 3), "25/12/2020": date(2020, 12, 25),
         "25-12-2020": date(2020, 12, 25), "20200131": date(2020, 1, 31), "12312020": date(2020, 12, 31), "2020-01-31 10:30:00": date(2020, 1, 31), "Jan 5, 2021": date(2021, 1, 5),
-        "2023-02-30": None, "0001-01-01": None, "2023": None, "2023-05": None, "invalid": None, "": None, None: None,
+        "2023-02-30": None, "0001-01-01": date(1, 1, 1), "9999-12-31": date(9999, 12, 31), "2023": None, "2023-05": None, "invalid": None, "": None, None: None,
     }
     assert values(spark, to_date_flexible, list(cases)) == list(cases.values())
+    assert values(spark, lambda c: to_date_flexible(c, (EARLIEST, LATEST)), ["9999-12-31", "2020-01-31"]) == [None, date(2020, 1, 31)]
     typed = spark.sql("SELECT DATE '2020-01-31' AS d, TIMESTAMP '2020-01-31 23:59:59' AS t, TIMESTAMP_NTZ '2020-01-31 00:00:01' AS n")
     assert set(typed.select(*[to_date_flexible(F.col(c)) for c in "dtn"]).first()) == {date(2020, 1, 31)}
 
