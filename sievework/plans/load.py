@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from sievework.plans.transform import transform
 from sievework.sources import runlog
 from sievework.sources.catalog import CORE_LOAD_ORDER, CORE_TABLES, CoreTable, Source, core_table
 from sievework.sources.lineage import lineage
-from sievework.sources.tables import Tables, stable_key
+from sievework.sources.tables import ROW_KEY, Tables, stable_key
 
 LOADED_BY = "etl_system"
 
@@ -75,21 +76,29 @@ def targets_of(source: Source) -> list[str]:
     return [t for t in CORE_LOAD_ORDER if CORE_TABLES[t].staging_table == source.staging_table]
 
 
-def load_source(spark: SparkSession, tables: Tables, raw: DataFrame, source: Source, batch_id: int, as_of: datetime) -> bool:
+def load_source(
+    spark: SparkSession, tables: Tables, raw: DataFrame, source: Source, batch_id: int | None, as_of: datetime, key: str | None = None
+) -> bool:
     """Transform, stage and load one source under a batch in the run log.
 
-    A failing step closes the batch as FAILED and is raised again.
+    The batch is the given number, or the one the run log has or allots for ``key`` (by default a new
+    one).  Everything is written by batch, so running it again doubles nothing.  A failing step closes the
+    batch as FAILED and is raised again.
     """
-    tables.append(runlog.open_batch(spark, batch_id, f"load_{source.name}", as_of, source.title), "etl_run_log")
+    process = f"load_{source.name}"
+    if batch_id is None:
+        batch_id = runlog.batch_of(tables, process, key or uuid.uuid4().hex, as_of, source.title)
+    else:
+        runlog.numbered(tables, batch_id, process, as_of, source.title)
     try:
-        tables.stage(transform(raw, source, as_of), source.staging_table, batch_id, source_file=source.title)
+        tables.stage(transform(raw, source, as_of, key_as=ROW_KEY), source.staging_table, batch_id, source_file=source.title)
         staged = tables.batch(source.staging_table, batch_id).count()
         for target in targets_of(source):
-            tables.append(load_core(tables, target, batch_id, as_of), "data_lineage")
+            tables.put(load_core(tables, target, batch_id, as_of), "data_lineage", f"batch-{batch_id}-{target}")
     except Exception as problem:
-        tables.append(runlog.close_batch(spark, batch_id, "FAILED", as_of, error=str(problem)), "etl_run_log")
+        runlog.log_event(tables, batch_id, runlog.close_batch(spark, batch_id, "FAILED", as_of, error=str(problem)), "end")
         raise
-    tables.append(runlog.close_batch(spark, batch_id, "SUCCESS", as_of, processed=staged, inserted=staged), "etl_run_log")
+    runlog.log_event(tables, batch_id, runlog.close_batch(spark, batch_id, "SUCCESS", as_of, processed=staged, inserted=staged), "end")
     return True
 
 

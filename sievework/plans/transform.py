@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from sievework.functions.scoring import share
 from sievework.operators import cleaning
-from sievework.operators.dedup import remove_duplicates
+from sievework.operators.dedup import natural_keys, remove_duplicates
 from sievework.sources.catalog import Source
 from sievework.sources.delimited import ORDER_COLUMNS
+from sievework.sources.tables import stable_key
 
 
 def order_of(df: DataFrame) -> list:
@@ -49,10 +50,22 @@ def after_dedup(df: DataFrame, source: Source, as_of: datetime) -> DataFrame:
     )
 
 
-def transform(df: DataFrame, source: Source, as_of: datetime) -> DataFrame:
-    """The whole transformation of one source; ``as_of`` stands for now."""
+def row_keys(ready: DataFrame, source: Source) -> list[str]:
+    """What tells one row from another: the declared key, else the natural one of the columns."""
+    return source.snake(source.row_key) or natural_keys([c for c in ready.columns if not c.startswith("_")])
+
+
+def transform(df: DataFrame, source: Source, as_of: datetime, key_as: str | None = None) -> DataFrame:
+    """The whole transformation of one source; ``as_of`` stands for now.
+
+    ``key_as`` names a column for a hash of the row key as it was when duplicates were removed, before
+    declared ranges empty any part of it.
+    """
     ready = before_dedup(df, source)
-    kept = remove_duplicates(ready, order_of(ready), source.snake(source.row_key) or None)
+    keys = row_keys(ready, source)
+    kept = remove_duplicates(ready, order_of(ready), keys)
+    if key_as is not None:
+        kept = kept.withColumn(key_as, stable_key(*(keys or [c for c in ready.columns if not c.startswith("_")])))
     return after_dedup(kept, source, as_of).drop(*ORDER_COLUMNS)
 
 

@@ -28,6 +28,7 @@ class Source:
     encoding: str = "UTF-8"
     delimiter: str = ","
     row_key: tuple[str, ...] = ()  # what one row is about; empty: found by name
+    multi_line: bool = False  # quoted values hold line ends; a file is then one scan task
 
     @property
     def numeric(self) -> tuple[str, ...]:

@@ -16,30 +16,41 @@ from sievework.sources.catalog import Source
 
 CORRUPT_SHARE = 0.8
 ORDER_COLUMNS = ("_file", "_block", "_row")
+MALFORMED = "_malformed"
+
+
+def csv_options(source: Source) -> dict[str, str | bool]:
+    """How batch and stream read an extract alike.
+
+    The header of every file is compared with the columns, so a file of another layout stops the read
+    instead of shifting its values.
+    """
+    return {
+        "header": True, "sep": source.delimiter, "encoding": source.encoding, "mode": "PERMISSIVE", "quote": '"', "escape": '"',
+        "multiLine": source.multi_line, "enforceSchema": False, "columnNameOfCorruptRecord": MALFORMED,
+    }
 
 
 def header_of(spark: SparkSession, path: str, source: Source) -> list[str]:
     """Column names of the first file; reads one line."""
-    return spark.read.options(header=True, sep=source.delimiter, encoding=source.encoding).csv(path).columns
+    return spark.read.options(**csv_options(source)).csv(path).columns
 
 
 def read_delimited(
-    spark: SparkSession, path: str, source: Source, header: list[str] | None = None, with_order: bool = False
+    spark: SparkSession, path: str, source: Source, header: list[str] | None = None, with_order: bool = False, with_malformed: bool = False
 ) -> DataFrame:
     """All-string scan of an extract; nothing is inferred, so the data is read once.
 
     ``with_order`` adds file, block start and a row id that grows within a block: a stable order key
-    for "keep the first" without numbering rows.
+    for "keep the first" without numbering rows.  ``with_malformed`` adds the text of rows that have too few or
+    too many values (null for good ones).
     """
     columns = header or header_of(spark, path, source)
-    frame = (
-        spark.read.schema(source.schema(columns))
-        .options(header=True, sep=source.delimiter, encoding=source.encoding, mode="PERMISSIVE", quote='"', escape='"')
-        .csv(path)
-    )
+    schema = source.schema([*columns, MALFORMED] if with_malformed else columns)
+    frame = spark.read.schema(schema).options(**csv_options(source)).csv(path)
     if with_order:
         frame = frame.select(
-            *[F.col(f"`{c}`") for c in columns],
+            *[F.col(f"`{c}`") for c in schema.names],
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
@@ -47,6 +58,16 @@ def read_delimited(
     return frame
 
 
+def malformed_rows(spark: SparkSession, path: str, source: Source, header: list[str] | None = None) -> DataFrame:
+    """Rows, malformed rows and rows without any value, of every file."""
+    rows = read_delimited(spark, path, source, header, with_order=True, with_malformed=True)
+    content = [c for c in rows.columns if c not in (*ORDER_COLUMNS, MALFORMED)]
+    empty = ~reduce(or_, [F.col(f"`{c}`").isNotNull() for c in content])
+    return rows.groupBy(F.col("_file").alias("file_path")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count(MALFORMED).alias("malformed_count"), F.count_if(empty).alias("empty_count")
+    )
+
+
 def structure_issues(spark: SparkSession, columns: list[str], source: Source) -> DataFrame:
     """Missing required columns (ERROR), missing expected and extra columns (WARNING), one per row."""
     present = set(columns)
@@ -61,7 +82,7 @@ def clean_raw(df: DataFrame, source: Source) -> DataFrame:
 
     A row counts as empty before its tokens are removed, as when read from the file.
     """
-    content = [c for c in df.columns if c not in ORDER_COLUMNS]
+    content = [c for c in df.columns if c not in (*ORDER_COLUMNS, MALFORMED)]
     kept = df.filter(reduce(or_, [F.col(f"`{c}`").isNotNull() for c in content]))
     typed = {c: _typed(F.col(f"`{c}`"), c, source) for c in content}
     return kept.select(*[typed[c].alias(c) if c in typed else F.col(c) for c in df.columns])
@@ -100,7 +121,7 @@ def sanity_counts(df: DataFrame, source: Source, last_year: int) -> DataFrame:
             if name in present:
                 year = to_number(F.substring(F.col(name).cast("string"), 1, 4)) if name == "YEARQTR" else year_of(name)
                 checks[f"year_{name}"] = outside(year, (source.rules["year_from"], last_year))
-    content = [c for c in df.columns if c not in ORDER_COLUMNS]
+    content = [c for c in df.columns if c not in (*ORDER_COLUMNS, MALFORMED)]
     nulls = reduce(add, [F.col(f"`{c}`").isNull().cast("int") for c in content])
     checks["corrupt_rows"] = nulls >= CORRUPT_SHARE * len(content)
     counted = df.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(n) for n, c in checks.items()])

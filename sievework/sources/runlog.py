@@ -1,4 +1,4 @@
-"""The run log: an append-only table of run events and the views derived from it."""
+"""The run log: a table of run events, a part for each batch and event, and the views derived from it."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sievework.functions.codes import RUN_STATUSES
 
+RUN_LOG = "etl_run_log"
 RUN_SCHEMA = (
     "batch_id bigint, process_name string, source_file_name string, start_time timestamp, "
     "end_time timestamp, status string, records_processed bigint, records_inserted bigint, "
@@ -48,6 +49,41 @@ def close_batch(
     )
 
 
+def log_event(tables, batch_id: int, event: DataFrame, moment: str) -> None:
+    """Write the ``open`` or ``end`` event of a batch; a repeated batch replaces its own."""
+    tables.put(event, RUN_LOG, f"batch-{batch_id}-{moment}")
+
+
+def batch_of(tables, process: str, key: str, at: datetime, source_file: str | None = None) -> int:
+    """The id of the batch that ``key`` stands for within a process, opened in the run log.
+
+    A key that ran before finds its own id again, so a repeated batch replaces what it wrote.  A new one
+    gets the next id nobody has claimed, whichever stream or load asks.
+    """
+    last = 0
+    if tables.exists(RUN_LOG):
+        mine = (F.col("process_name") == process) & (F.col("run_parameters") == key)
+        row = tables.read(RUN_LOG).agg(F.min(F.when(mine, F.col("batch_id"))).alias("known"), F.max("batch_id").alias("last")).first()
+        if row["known"] is not None:
+            return row["known"]
+        last = row["last"] or 0
+    batch_id = last + 1
+    while not tables.claim(f"batch-{batch_id}"):
+        batch_id += 1
+    log_event(tables, batch_id, open_batch(tables.spark, batch_id, process, at, source_file, key), "open")
+    return batch_id
+
+
+def numbered(tables, batch_id: int, process: str, at: datetime, source_file: str | None = None) -> int:
+    """Open a batch under a number the caller chose; one that another process holds is refused."""
+    if not tables.claim(f"batch-{batch_id}"):
+        held = tables.read(RUN_LOG).filter((F.col("batch_id") == batch_id) & (F.col("process_name") != process)) if tables.exists(RUN_LOG) else None
+        if held is not None and not held.isEmpty():
+            raise ValueError(f"batch {batch_id} belongs to another process")
+    log_event(tables, batch_id, open_batch(tables.spark, batch_id, process, at, source_file), "open")
+    return batch_id
+
+
 def current_runs(events: DataFrame) -> DataFrame:
     """Latest state of every batch; values a later event leaves open come from an earlier one.
 

@@ -7,9 +7,11 @@ the old version in place.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from sievework.operators.ordering import dense_positions
 
 ETL_COLUMNS = ("etl_batch_id", "etl_load_date", "etl_source_file", "etl_row_number")
 BATCH_COLUMN = "etl_batch_id"
+PART_COLUMN = "written_by"
+ROW_KEY = "_row_key"  # hash of what a row is about; kept in staging to find repeats of other batches
 
 
 class Tables:
@@ -72,6 +76,31 @@ class Tables:
         target = f"{self.path(name, schema)}/v{known[-1] if known else 1}"
         df.write.mode("append").partitionBy(*partition_by).parquet(target)
 
+    def put(self, df: DataFrame, name: str, part: str, schema: str = "core") -> None:
+        """Write one named part of a table, in place of what an earlier attempt wrote under that name.
+
+        Tables of records (run log, findings, lineage) are made of such parts, so repeating a step never
+        doubles its records.  The name shows as column ``written_by``.
+        """
+        if not re.fullmatch(r"[A-Za-z][\w.-]*", part):
+            raise ValueError(f"not the name of a part: {part}")
+        known = self.versions(name, schema)
+        target = f"{self.path(name, schema)}/v{known[-1] if known else 1}"
+        df.write.mode("overwrite").parquet(f"{target}/{PART_COLUMN}={part}")
+        if not known:
+            self._mark(target)
+
+    def claim(self, name: str) -> bool:
+        """True for the one caller that gets the name first."""
+        fs, _ = self._files(self.base)
+        try:
+            fs.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/claims", name), False).close()
+        except Py4JJavaError as problem:
+            if "AlreadyExists" in problem.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def replace(self, df: DataFrame, name: str, schema: str = "core", partition_by: tuple[str, ...] = ()) -> None:
         known = self.versions(name, schema)
         target = f"{self.path(name, schema)}/v{known[-1] + 1 if known else 1}"

@@ -35,6 +35,16 @@ def csv_extract(spark, sf):
     return clean.groupBy(*keys).agg(F.sum("NUMCVDT").alias("cvdt"), F.count(F.lit(1)).alias("n"))
 
 
+@query("malformed_rows", "SELECT count(*) AS row_count, count(*) FILTER (WHERE l_linenumber = 2 OR l_linenumber = 3) AS malformed_count, count(*) FILTER (WHERE l_linenumber = 4) AS empty_count FROM lineitem")
+def malformed_rows(spark, sf):
+    """Lines with too few and too many values are kept and counted."""
+    path = scratch(spark)
+    line = "CASE l_linenumber WHEN 2 THEN 'AK1,20231' WHEN 3 THEN 'AK1,20231,S,1,0,0,0,0,9' WHEN 4 THEN ',,,,,,,' ELSE 'AK1,20231,S,1,0,0,0,0' END"
+    table(spark, sf, "lineitem").selectExpr(f"{line} AS `NPDES_ID,YEARQTR,HLRNC,NUME90Q,NUMCVDT,NUMSVCD,NUMPSCH,NUMD8090Q`").write.options(header=True, sep="|").csv(path)
+    counted = delimited.malformed_rows(spark, path, source("npdes_measurements"))
+    return counted.agg(*[F.sum(c).alias(c) for c in ("row_count", "malformed_count", "empty_count")])
+
+
 RAW_FACILITIES = """
 SELECT CAST(110000000000 + c_custkey AS STRING) AS REGISTRY_ID, c_name AS FAC_NAME, CASE WHEN c_nationkey = 3 THEN '??' WHEN c_nationkey = 4 THEN '' ELSE 'TX' END AS FAC_STATE,
        CASE WHEN c_nationkey = 5 THEN 'ten' ELSE CAST(c_nationkey AS STRING) END AS FAC_EPA_REGION, CAST(c_acctbal / 64e0 AS STRING) AS FAC_LAT, CAST(c_nationkey * 10 - 200 AS STRING) AS FAC_LONG,

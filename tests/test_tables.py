@@ -133,3 +133,58 @@ def test_batch_forms_of_stream_operators(spark):
     out = sorted((r.window_start.minute, r.checks, r.breaches, r.alert) for r in windows.sla_windows(df).collect())
     assert out == [(0, 2, 1, True), (15, 1, 1, True)]
     assert windows.drop_repeats(df.union(df), ["id"], "ts").count() == 4
+
+
+def test_file_of_another_layout_stops_the_read(spark, tmp_path, tables):
+    config = source("npdes_measurements")
+    measurements(tmp_path / "in", "a.csv", ["AK1,20231,S,1,0,0,0,0"])
+    (tmp_path / "in" / "b.csv").write_text("EXTRA,NPDES_ID,YEARQTR,HLRNC,NUME90Q,NUMCVDT,NUMSVCD,NUMPSCH,NUMD8090Q\nzz,AK2,20231,S,1,0,0,0,0\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        delimited.read_delimited(spark, str(tmp_path / "in"), config, header=list(config.columns)).collect()
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest.ingest(ingest.file_stream(spark, str(tmp_path / "in"), config, list(config.columns)), config, tables, str(tmp_path / "check"), AS_OF).awaitTermination()
+
+
+def test_leading_column_does_not_shift_a_stream(spark, tmp_path, tables):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b.csv").write_text("EXTRA,NPDES_ID,YEARQTR,HLRNC,NUME90Q,NUMCVDT,NUMSVCD,NUMPSCH,NUMD8090Q\nzz,AK2,20231,S,1,0,0,0,0\n")
+    config = source("npdes_measurements")
+    ingest.ingest(ingest.file_stream(spark, str(tmp_path / "in"), config), config, tables, str(tmp_path / "check"), AS_OF, "water_measurements", enforce_gate=False).awaitTermination()
+    row = tables.read("npdes_measurements", "staging").first()
+    assert (row.extra, row.npdes_id, row.yearqtr) == ("zz", "AK2", "20231")
+
+
+def test_repeats_of_other_batches_and_malformed_rows(spark, tmp_path, tables):
+    config = source("npdes_measurements")
+    # years out of range lose their value later, yet stay keys of their own
+    lines = ["AK1,20231,S,1,0,0,0,0", "AK2,19001,S,1,0,0,0,0", ",20231,S,1,0,0,0,0"]
+    measurements(tmp_path / "in", "a.csv", lines)
+    measurements(tmp_path / "in", "b.csv", [*lines, "AK2,19002,S,1,0,0,0,0", "AK3,20231", '"AK4",20231,"a ""b"",c",1,0,0,0,0,7'])
+    stream = ingest.file_stream(spark, str(tmp_path / "in"), config, files_per_batch=1)
+    ingest.ingest(stream, config, tables, str(tmp_path / "check"), AS_OF, "water_measurements", enforce_gate=False).awaitTermination()
+    assert tables.read("npdes_measurements", "staging").count() == 6
+    counted = {r.file_path[-5:]: (r.row_count, r.malformed_count, r.empty_count) for r in delimited.malformed_rows(spark, str(tmp_path / "in"), config).collect()}
+    assert counted == {"a.csv": (3, 0, 0), "b.csv": (6, 2, 0)}
+
+
+def test_batches_and_parts(spark, tables):
+    first = runlog.batch_of(tables, "p", "one", AS_OF)
+    assert runlog.batch_of(tables, "p", "two", AS_OF) != first and runlog.batch_of(tables, "p", "one", AS_OF) == first
+    assert tables.claim("name") and not tables.claim("name")
+    with pytest.raises(ValueError):
+        runlog.numbered(tables, first, "q", AS_OF)
+    for rows in (3, 2, 0):
+        tables.put(spark.range(rows), "t", "batch-1")
+        tables.put(spark.range(4), "t", "batch-2")
+        assert tables.read("t").count() == rows + 4
+    with pytest.raises(ValueError):
+        tables.put(spark.range(1), "t", "a/b")
+
+
+def test_load_again_doubles_nothing(spark, tables):
+    raw = spark.createDataFrame([("AK1", "20231", "S", "1")], "NPDES_ID string, YEARQTR string, HLRNC string, NUME90Q string")
+    for _ in range(2):
+        load.load_source(spark, tables, raw, source("npdes_measurements"), None, AS_OF, key="2024-06-01")
+    assert tables.read("etl_run_log").count() == 2 and tables.read("water_measurements").count() == 1
+    lineage = tables.read("data_lineage")
+    assert lineage.count() == lineage.select("source_column", "target_column").distinct().count()
