@@ -70,7 +70,8 @@ def ingest(
         batch_id = runlog.batch_of(tables, f"ingest_{source.name}", f"{name}:{number}", now(), source.title)
         if {"_file", "_block"}.issubset(batch.columns):
             batch = batch.withColumn("_row", F.monotonically_increasing_id())
-        clean = unseen(transform(batch, source, now(), key_as=ROW_KEY), source, tables, batch_id).persist()
+        whole = transform(batch, source, now(), key_as=ROW_KEY).persist()
+        clean = unseen(whole, source, tables, batch_id).persist()
         try:
             run = run_stage(clean.drop(ROW_KEY), source.name, table_type or source.staging_table, "load", now(), batch_id=batch_id)
             open_, message = gate(run.statistics)
@@ -85,5 +86,6 @@ def ingest(
             raise
         finally:
             clean.unpersist()
+            whole.unpersist()
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

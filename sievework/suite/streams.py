@@ -54,9 +54,10 @@ def stream_dedup(spark, sf):
 def measurement_files(spark, sf, path: str, times: int = 1, text: str = RAW_MEASUREMENTS) -> None:
     """Extract files; all rows of a key are in one of them, in the order the SQL takes the first by."""
     whole = [F.expr(f"try_cast({c} AS BIGINT)") for c in ("NUME90Q", "NUMCVDT")]
-    rows = frame(spark, sf, text).repartition("NPDES_ID", "YEARQTR").sortWithinPartitions("NPDES_ID", "YEARQTR", "HLRNC", *whole)
+    rows = frame(spark, sf, text).repartition("NPDES_ID", "YEARQTR").sortWithinPartitions("NPDES_ID", "YEARQTR", "HLRNC", *whole).persist()
     for _ in range(times):
         rows.write.mode("append").option("header", True).csv(path)
+    rows.unpersist()
 
 
 def ingested(spark, tables: Tables, inputs: str, checkpoint: str, files_per_batch: int | None = None):
