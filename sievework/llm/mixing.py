@@ -169,7 +169,10 @@ class Mixture:
         steps = inside.groupBy("key", "block", "before", "rest", "hash").agg(F.sum("size").alias("words"))
         within = Window.partitionBy("key").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
         middle = F.col("before") + F.coalesce(F.sum("words").over(within), F.lit(0)) + F.col("words") / 2
-        cut = steps.withColumn("middle", middle).groupBy("key", "block").agg(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("hash"))).alias("cut"))
+        # if not even the first document of the block is taken, the pass ends before it: all earlier blocks stay whole
+        cut = steps.withColumn("middle", middle).groupBy("key", "block").agg(
+            F.coalesce(F.max(F.when(F.col("middle") <= F.col("rest"), F.col("hash"))), F.min("hash") - 1).alias("cut")
+        )
         return base.join(cut.withColumnRenamed("block", "last"), "key", "left").select(
             "key", "source", "source_size", "target", "parts", "passes",
             F.when(F.col("rest") > 0, F.col("last")).alias("last"), F.when(F.col("rest") > 0, F.coalesce("cut", F.lit(-1))).otherwise(-1).cast("long").alias("cut"),

@@ -142,6 +142,19 @@ def test_mixing(docs, none):
     assert mixing.Mixture(none).documents().count() == 0
 
 
+def test_mixing_long_document_first_in_its_block(spark):
+    place = lambda i: int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:15], 16)
+    ids = sorted(range(40), key=place)
+    block = [(place(i) >> 29) * 5 >> 31 for i in ids]
+    first = block.index(3)
+    # source a: 39 x 10 + 110 words in five blocks; its target, a third of all words, ends 20 words into the long document
+    sizes = {i: 110 if i == ids[first] else 10 for i in ids}
+    rest = 10 * first + 20
+    rows = [(i, "w " * n, "a") for i, n in sizes.items()] + [(100, "w " * (3 * rest - 500), "b")]
+    taken = {r.doc_id: r.taken for r in mixing.Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=3, block_words=100).documents().collect()}
+    assert {i: taken[i] for i in ids} == {i: 10 if at < first else 0 for at, i in enumerate(ids)}
+
+
 def test_hypergeometric(spark):
     df = spark.range(20000).select(mixing.hypergeometric(F.lit(50), F.lit(20), F.lit(10), (F.col("id") + 0.5) / 20000).alias("x"))
     mean, spread = df.agg(F.avg("x"), F.var_pop("x")).first()
