@@ -29,11 +29,11 @@ def all_anomalies(
     """Statistical, time-series, geographic, compliance and emission checks.
 
     ``tie`` makes the time order unique.  Columns are found by type and by whole words of their names
-    unless given: all numeric columns for outliers and series, the first year or date column, the first
-    latitude and longitude.
+    unless given: all numeric columns but ids for outliers and series, the first year or date column, the
+    first latitude and longitude.
     """
     columns = df.columns
-    numeric = list(numeric if numeric is not None else numeric_columns(df))
+    numeric = list(numeric if numeric is not None else [c for c in numeric_columns(df) if not has_token(c, "id")])
     found: list[DataFrame] = []
     if numeric:
         found.append(outliers.outlier_summary(df, outliers.outlier_tests(df, numeric, exact_rows=exact_rows), numeric))

@@ -290,9 +290,7 @@ def zero_emission_rows(spark, sf):
 
 
 def anomalies_of(spark, sf):
-    columns = ("facility_id", "latitude", "longitude", "measurement_year", "annual_emission_amount", "violation_count", "inspection_count", "penalty_amount", "compliance_status")
-    rows = frame(spark, sf, FACILITIES).select(*columns)
-    return settle(anomalies.all_anomalies(rows, ["facility_id"], numeric=["annual_emission_amount", "penalty_amount"]))
+    return settle(anomalies.all_anomalies(frame(spark, sf, FACILITIES), ["facility_id"]))
 
 
 @query("all_anomalies")

@@ -152,10 +152,7 @@ def qa_status(spark, sf):
 @query("comprehensive_qa")
 def comprehensive_qa(spark, sf):
     """Every rule and every detector of one table, counted per severity."""
-    rows = frame(spark, sf, FACILITIES).select(
-        "facility_id", "registry_id", "facility_name", "state_code", "epa_region", "annual_emission_amount", "penalty_amount", "violation_count", "inspection_count", "compliance_status"
-    )
-    run = checkpoint.comprehensive(rows, "facilities", "facilities", AS_OF, ["facility_id"])
+    run = checkpoint.comprehensive(frame(spark, sf, FACILITIES), "facilities", "facilities", AS_OF, ["facility_id"])
     return run.findings.groupBy("finding_type", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
