@@ -2,8 +2,9 @@
 
 Character n-grams of one to three characters are hashed.  The weights are trained by follow the regularised
 leader with an elastic net (L1 keeps the table sparse, L2 keeps it small), then one temperature is fitted on rows
-that the weights haven't seen.  Fitting uses at most ``limit`` rows on the driver; scoring runs over whole texts in
-Arrow batches, each n-gram one look-up in a table of fixed size.
+that the weights haven't seen.  Fitting uses at most ``limit`` rows on the driver, shared out over the languages, so
+that a rare one is learned beside a frequent one; document frequencies are counted over all training documents.
+Scoring runs over whole texts in Arrow batches, each n-gram one look-up in a table of fixed size.
 
 A text that is null or has no letter gets ``und`` with score 0.  Without training rows every text gets ``und``.
 """
@@ -19,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from sievework.llm.common import bounds, label_split, mix64, sample_of
+from sievework.llm.common import bounds, label_split, mix64, unit_hash
 
 BITS = 16
 FIT_ROWS = 4_000
@@ -90,18 +92,23 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 3, rate: float = 0.3, l1: float = 0.02, l2: float = 0.05, scale: float = 30.0) -> LanguageModel:
-    """FTRL over the rows' (ids, shares, language); every fifth row is kept for the temperature."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray | None = None, documents: int = 0, epochs: int = 3, rate: float = 0.3, l1: float = 0.02, l2: float = 0.05, scale: float = 30.0) -> LanguageModel:
+    """FTRL over the rows' (ids, shares, language); every fifth row of a language is kept for the temperature.
+
+    ``df`` counts the ``documents`` that have an n-gram; by default they are those learned from.
+    """
     languages = sorted({x[2] for x in rows})
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
-    learn, hold = [r for i, r in enumerate(rows) if i % 5], rows[::5]
-    if not learn:
-        learn = rows
-    df = np.zeros(1 << BITS)
-    for ids, _, _ in learn:
-        df[ids] += 1
-    idf = np.log((1 + len(learn)) / (1 + df)) + 1
+    learn, hold, met = [], [], dict.fromkeys(languages, 0)
+    for r in rows:
+        met[r[2]] += 1
+        (learn if met[r[2]] % 5 else hold).append(r)
+    if df is None:
+        df, documents = np.zeros(1 << BITS), len(learn)
+        for ids, _, _ in learn:
+            df[ids] += 1
+    idf = np.log((1 + documents) / (1 + df)) + 1
     n, k = 1 << BITS, len(languages)
     z, g2 = np.zeros((n + 1, k)), np.zeros((n + 1, k))
 
@@ -131,11 +138,57 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 3, rate: f
     return model
 
 
+def shared_out(sizes: dict[str, int], limit: int) -> dict[str, int]:
+    """Rows for each language, ``limit`` in all: an equal part each, what small ones leave goes to the others."""
+    quotas, left = {}, limit
+    for i, (label, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        quotas[label] = min(n, -(-left // (len(sizes) - i)))
+        left -= quotas[label]
+    return quotas
+
+
+def sample_by_language(known: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` of ``doc_id, label`` in the order of a hash, shared out over the languages.
+
+    Only rows whose hash lies in the first part that holds about twice a language's rows are ranked.
+    """
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(limit).collect()}
+    parts = [(k, q, min(1.0, (2 * q + 50) / sizes[k])) for k, q in shared_out(sizes, limit).items()]
+    quotas = known.sparkSession.createDataFrame(parts, "label string, quota long, part double")
+    hashed = known.withColumn("at", unit_hash(F.lit("language"), F.col("doc_id")))
+    near = hashed.join(F.broadcast(quotas), "label").filter(F.col("at") <= F.col("part") * float(2**60))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("at", "doc_id"))).filter("rank <= quota").select("doc_id", "label")
+
+
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How many rows of ``text`` have each hashed n-gram, and how many rows there are."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((1 << BITS) + 1, np.int64), np.zeros(1 << BITS, bool)
+        for batch in batches:
+            for a, b in bounds(batch.column(0), 1 << 20):
+                keys, starts = grams(batch.column(0).slice(a, b - a).to_pylist())
+                for i, j in zip(starts, [*starts[1:], len(keys)]):
+                    seen[keys[i:j].ravel()] = True
+                    ids = np.flatnonzero(seen)
+                    total[ids] += 1
+                    seen[ids] = False
+                total[-1] += b - a
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids])], ["gram", "n"])
+
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    for gram, n in docs.select("text").mapInArrow(work, "gram int, n long").groupBy("gram").agg(F.sum("n")).collect():
+        df[gram] = n
+    return df[:-1], int(df[-1])
+
+
 def train(docs: DataFrame, parts: int = 5, out: int = 0, limit: int = FIT_ROWS) -> LanguageModel:
     """Fit on rows with a language whose ``label_split`` into ``parts`` isn't ``out``."""
-    known = docs.select("doc_id", F.col("lang").alias("label")).filter(F.col("label") != "und")
-    chosen = sample_of(known, "label", label_split(F.col("doc_id"), parts) != out, limit, "language")
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", "text", "label")
+    eligible = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != "und") & (label_split(F.col("doc_id"), parts) != out)
+    own = docs.filter(eligible)
+    chosen = sample_by_language(own.groupBy("doc_id").agg(F.max("lang").alias("label")), limit)
+    texts = own.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +202,8 @@ def train(docs: DataFrame, parts: int = 5, out: int = 0, limit: int = FIT_ROWS)
 
     rows = texts.mapInArrow(work, "doc_id long, label string, ids binary, shares binary").collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], bytes(r["ids"])))
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in rows])
+    df, documents = document_frequencies(own)
+    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]) for r in rows], df, documents)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

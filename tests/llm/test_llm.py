@@ -246,3 +246,17 @@ def test_pipeline(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in kept) == sorted(set(want.values()))
+
+
+def test_rare_language_beside_a_frequent_one(spark):
+    rows = [(i, text_of(i, 20), "en") for i in range(3000)] + [(10**6 + i, f"żółć gęślą jaźń łąka źdźbło {i}", "pl") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, parts=10**9, out=-1, limit=100)
+    assert model.languages == ["en", "pl"]
+    assert model.predict(["gęślą jaźń źdźbło", rows[0][1]])[0] == ["pl", "en"]
+    assert language.shared_out({"en": 3000, "pl": 4, "fr": 60}, 100) == {"pl": 4, "fr": 48, "en": 48}
+    df, documents = language.document_frequencies(docs)
+    want = np.zeros_like(df)
+    for ids, _ in language.counts([r[1] for r in rows]):
+        want[ids] += 1
+    assert documents == len(rows) and (df == want).all()
