@@ -261,6 +261,7 @@ def _crowds(members: DataFrame, threshold: float) -> DataFrame:
     loose = judged.filter("NOT tight").join(wide, "component").join(sizes, "component")
     loose = loose.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part"), "node", "copies", "unit")
     against = judged.join(wide, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).select("component", "block", "part", "node", "copies", "unit", "tight")
+    against = against.toDF(*against.columns)  # both sides of the cogroup come from one table
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
