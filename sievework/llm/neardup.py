@@ -235,14 +235,20 @@ def _crowds(members: DataFrame, threshold: float) -> DataFrame:
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("blocks"))
     laid = stored(members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "neardup-members")
 
-    def total(table: pa.Table) -> pa.Table:
-        return pa.table({"component": table["component"].slice(0, 1), "sum": _binary(_rows(table["unit"], np.float64).sum(0)[None])})
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 8192):
+                part = batch.slice(i, 8192)
+                names, at = np.unique(part.column(0).to_numpy(), return_inverse=True)
+                sums = np.zeros((len(names), len(part.column(1)[0].as_py()) // 8)) if len(part) else np.zeros((0, 1))
+                np.add.at(sums, at, _rows(part.column(1), np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array(names), _binary(sums)], ["component", "sum"])
 
     def mean(table: pa.Table) -> pa.Table:
         m = _rows(table["sum"], np.float64).sum(0)
         return pa.table({"component": table["component"].slice(0, 1), "mean": _binary((m / max(np.sqrt((m * m).sum()), 1e-300))[None])})
 
-    sums = laid.select("component", "block", "unit").groupBy("component", "block").applyInArrow(total, "component long, sum binary")
+    sums = laid.select("component", "unit").mapInArrow(total, "component long, sum binary")  # summed up where the rows are read
     means = sums.groupBy("component").applyInArrow(mean, "component long, mean binary")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
