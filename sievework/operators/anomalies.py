@@ -14,7 +14,6 @@ from sievework.operators import detectors as rowwise
 from sievework.operators import outliers, series
 from sievework.operators.cleaning import coordinate_pair
 from sievework.operators.clusters import Clustering
-from sievework.operators.quantiles import EXACT_ROWS
 from sievework.operators.scores import numeric_columns
 
 
@@ -24,7 +23,6 @@ def all_anomalies(
     numeric: Sequence[str] | None = None,
     time: str | None = None,
     facility: str = "facility_id",
-    exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
     """Statistical, time-series, geographic, compliance and emission checks.
 
@@ -36,7 +34,7 @@ def all_anomalies(
     numeric = list(numeric if numeric is not None else [c for c in numeric_columns(df) if not has_token(c, "id")])
     found: list[DataFrame] = []
     if numeric:
-        found.append(outliers.outlier_summary(df, outliers.outlier_tests(df, numeric, exact_rows=exact_rows), numeric))
+        found.append(outliers.outlier_summary(df, outliers.outlier_tests(df, numeric), numeric))
     time = time or next((c for c in columns if has_token(c, "year", "date")), None)
     if time and numeric:
         found += series.series_summaries(df, [time, *[t for t in tie if t != time]], [c for c in numeric if c != time])

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators.detectors import SUMMARY_COLUMNS, with_rate
-from sievework.operators.quantiles import EXACT_ROWS, exact_quantiles
+from sievework.operators.quantiles import SKETCH_ACCURACY, exact_quantiles
 
 Z_ABOVE = 3.0
 IQR_TIMES = 1.5
@@ -76,11 +76,10 @@ def _quartile_ranges(known: dict[str, dict[str, float]], quartiles: dict[str, li
     return tests
 
 
-def _modified_z_scores(df: DataFrame, known: dict[str, dict[str, float]], medians: dict[str, float], exact_rows: int) -> list[Test]:
+def _modified_z_scores(df: DataFrame, known: dict[str, dict[str, float]], medians: dict[str, float], accuracy: int) -> list[Test]:
     """0.6745 |x - median| / MAD above 3.5; needs three values and a MAD that is not 0."""
     wanted = {c: F.abs(_finite(c) - m) for c, m in medians.items() if m is not None}
-    rows = {c: known[c]["n"] for c in wanted}
-    deviations = exact_quantiles(df, wanted, [0.5], exact_rows, rows) if wanted else {}
+    deviations = exact_quantiles(df, wanted, [0.5], accuracy) if wanted else {}
     tests = []
     for name, (mad,) in deviations.items():
         s, mid = known[name], medians[name]
@@ -92,7 +91,7 @@ def _modified_z_scores(df: DataFrame, known: dict[str, dict[str, float]], median
     return tests
 
 
-def outlier_tests(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS, exact_rows: int = EXACT_ROWS) -> list[Test]:
+def outlier_tests(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHODS, accuracy: int = SKETCH_ACCURACY) -> list[Test]:
     """Tests of all methods on all columns.
 
     The methods share their passes: one for the moments, one search for quartiles and medians
@@ -103,11 +102,11 @@ def outlier_tests(df: DataFrame, columns: Sequence[str], methods: Sequence[str]
     points = [p for p, method in ((0.25, "iqr"), (0.5, "modified_z_score"), (0.75, "iqr")) if method in methods]
     if not points:
         return tests
-    found = exact_quantiles(df, {c: _finite(c) for c in columns}, points, exact_rows, {c: known[c]["n"] for c in columns})
+    found = exact_quantiles(df, {c: _finite(c) for c in columns}, points, accuracy)
     if "iqr" in methods:
         tests += _quartile_ranges(known, {c: [q[0], q[-1]] for c, q in found.items()})
     if "modified_z_score" in methods:
-        tests += _modified_z_scores(df, known, {c: q[points.index(0.5)] for c, q in found.items()}, exact_rows)
+        tests += _modified_z_scores(df, known, {c: q[points.index(0.5)] for c, q in found.items()}, accuracy)
     return tests
 
 

@@ -1,144 +1,132 @@
-"""Exact quantiles of columns of any length.
+"""Exact quantiles of columns of any length, in two scans.
 
-Spark's exact ``percentile`` keeps every distinct value of a column in one task.  Up to a row limit
-that is fine and one pass is enough.  Beyond it the wanted ranks are closed in on: a sketch proposes
-pivots, an exact count tells on which side of each pivot the rank lies, and the loop ends when so few
-rows are left between the bounds that ``percentile`` can finish.  Each step is an aggregate without a
-shuffle of rows, and the result does not depend on how good the sketch is.
+The first scan makes one mergeable sketch for each column.  A sketch is off by a known share of the rows at
+most, so it names for every wanted rank a bracket of values that holds it.  The second scan maps each value to the gap
+or bracket it falls in; gaps are only counted, values in brackets are counted one by one, both combined inside each
+task.  What is left, a few rows in ten thousand, is range partitioned, and a rank is looked up in the one partition
+where the running count passes it.  No step holds a column, or a bracket, in one task.
+
+The result does not depend on how good the sketch is: a rank that falls into a gap widens its bracket, which costs one
+more scan.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-EXACT_ROWS = 100_000
-SKETCH_ACCURACY = 10_000
-PIVOT_SPREAD = 0.001
-
+from sievework.session import settle
 
-@dataclass
-class _Search:
-    """A rank being looked for, and the open interval it is known to lie in."""
+SKETCH_ACCURACY = 10_000
 
-    column: str
-    rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0  # rows up to and including low
-    inside: int = 0  # rows strictly between the bounds
-    answer: float | None = None
+Bracket = tuple[float | None, float | None]
 
-    @property
-    def place(self) -> float:
-        """Where the rank lies among the rows inside, between 0 and 1."""
-        return (self.rank - self.below) / max(self.inside - 1, 1)
 
-    def within(self, value: Column) -> Column:
-        kept = value
-        if self.low is not None:
-            kept = F.when(value > self.low, kept)
-        if self.high is not None:
-            kept = F.when(value < self.high, kept)
-        return kept
+def _ranks(probability: float, rows: int) -> tuple[int, int]:
+    place = probability * (rows - 1)
+    return math.floor(place), math.ceil(place)
 
 
 def exact_quantiles(
-    df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], exact_rows: int = EXACT_ROWS,
-    counts: dict[str, int] | None = None,
+    df: DataFrame, columns: dict[str, Column], probabilities: Sequence[float], accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation; nulls are ignored. Collects one small row per step.
-
-    ``counts`` are the numbers of non-null values; callers that know them save a pass.
-    """
-    if counts is None:
-        counts = df.agg(*[F.count(c).alias(n) for n, c in columns.items()]).first().asDict()
-    short = {n: c for n, c in columns.items() if 0 < counts[n] <= exact_rows}
-    long = {n: c for n, c in columns.items() if counts[n] > exact_rows}
-    result: dict[str, list[float | None]] = {n: [None] * len(probabilities) for n in columns}
-    if short:
-        points = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(c, points).alias(n) for n, c in short.items()]).first()
-        result.update({n: list(row[n]) for n in short})
-    if long:
-        ranks = {n: sorted({r for p in probabilities for r in _ranks(p, counts[n])}) for n in long}
-        found = _select(df, long, ranks, {n: counts[n] for n in long}, exact_rows)
-        for name in long:
-            for i, p in enumerate(probabilities):
-                lower, upper = _ranks(p, counts[name])
-                part = p * (counts[name] - 1) - lower
-                a, b = found[name, lower], found[name, upper]
-                result[name][i] = a if lower == upper else (1 - part) * a + part * b
+    """Quantiles with linear interpolation; nulls are ignored. Collects one row, and one for each rank."""
+    rows, brackets = _sketched(df, columns, probabilities, accuracy)
+    wanted = {n: sorted({r for p in probabilities for r in _ranks(p, rows[n])}) for n in columns if rows[n]}
+    found: dict[tuple[str, int], float] = {}
+    while missing := {n: left for n, ranks in wanted.items() if (left := [r for r in ranks if (n, r) not in found])}:
+        answers = _looked_up(df, {n: columns[n] for n in missing}, {n: brackets[n] for n in missing}, missing)
+        found.update({(name, rank): value for name, rank, value, slot in answers if slot % 2})
+        for name, slot in sorted({(name, slot) for name, _, _, slot in answers if slot % 2 == 0}, reverse=True):
+            brackets[name] = _without_gap(brackets[name], slot)
+    result: dict[str, list[float | None]] = {}
+    for name in columns:
+        result[name] = [None] * len(probabilities)
+        for i, p in enumerate(probabilities if rows[name] else ()):
+            lower, upper = _ranks(p, rows[name])
+            part = p * (rows[name] - 1) - lower
+            a, b = found[name, lower], found[name, upper]
+            result[name][i] = a if lower == upper else (1 - part) * a + part * b
     return result
 
 
-def _ranks(probability: float, rows: int) -> tuple[int, int]:
-    place = probability * (rows - 1)
-    return math.floor(place), math.ceil(place)
-
-
-def _select(df, columns, ranks, rows, exact_rows) -> dict[tuple[str, int], float]:
-    searches = [_Search(n, r, inside=rows[n]) for n in columns for r in ranks[n]]
-    while True:
-        wide = [s for s in searches if s.answer is None and s.inside > exact_rows]
-        if not wide:
-            break
-        _narrow(df, columns, wide)
-    rest = _by_interval([s for s in searches if s.answer is None])
-    if rest:
-        points = [F.array(*[F.lit(s.place) for s in group]) for group in rest]
-        row = df.agg(*[F.percentile(g[0].within(columns[g[0].column]), p).alias(f"s{i}") for i, (g, p) in enumerate(zip(rest, points))]).first()
-        for i, group in enumerate(rest):
-            for s, value in zip(group, row[f"s{i}"]):
-                s.answer = value
-    return {(s.column, s.rank): s.answer for s in searches}
-
-
-def _by_interval(searches: list[_Search]) -> list[list[_Search]]:
-    """Searches that look at the same rows, so that one sketch serves all of them."""
-    groups: dict[tuple, list[_Search]] = {}
-    for s in searches:
-        groups.setdefault((s.column, s.low, s.high), []).append(s)
-    return list(groups.values())
-
-
-def _narrow(df, columns, searches: list[_Search]) -> None:
-    """One sketch pass for pivots around every rank, one exact counting pass at those pivots."""
-    groups = _by_interval(searches)
-    proposals = []
-    for i, group in enumerate(groups):
-        wanted = sorted({min(max(s.place + d, 0.0), 1.0) for s in group for d in (-PIVOT_SPREAD, 0.0, PIVOT_SPREAD)})
-        value = group[0].within(columns[group[0].column])
-        proposals.append(F.percentile_approx(value, F.array(*[F.lit(w) for w in wanted]), F.lit(SKETCH_ACCURACY)).alias(f"p{i}"))
-    row = df.agg(*proposals).first()
-    pivots = [sorted(set(row[f"p{i}"])) for i in range(len(groups))]
-    tallies = []
-    for i, group in enumerate(groups):
-        value = columns[group[0].column]
-        for j, pivot in enumerate(pivots[i]):
-            tallies += [F.count_if(value < pivot).alias(f"lt{i}_{j}"), F.count_if(value <= pivot).alias(f"le{i}_{j}")]
-    counted = df.agg(*tallies).first()
-    for i, group in enumerate(groups):
-        for s in group:
-            top = s.below + s.inside
-            for j, pivot in enumerate(pivots[i]):
-                under, upto = counted[f"lt{i}_{j}"], counted[f"le{i}_{j}"]
-                if under <= s.rank < upto:
-                    s.answer = pivot
-                elif upto <= s.rank:
-                    s.low, s.below = pivot, upto
-                elif s.high is None or pivot < s.high:
-                    s.high, top = pivot, under
-            s.inside = top - s.below
-
-
-def quantile(df: DataFrame, column: Column, probability: float, exact_rows: int = EXACT_ROWS) -> float | None:
-    return exact_quantiles(df, {"q": column}, [probability], exact_rows)["q"][0]
-
-
-def median(df: DataFrame, column: Column, exact_rows: int = EXACT_ROWS) -> float | None:
-    return quantile(df, column, 0.5, exact_rows)
+def _sketched(df, columns, probabilities, accuracy) -> tuple[dict[str, int], dict[str, list[Bracket]]]:
+    """Filled rows and brackets of every column, from one scan."""
+    reach = 2 / accuracy
+    points = [q for p in probabilities for q in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    sketch = lambda c: F.percentile_approx(c, F.array(*[F.lit(q) for q in points]), F.lit(accuracy))
+    measures = [m for i, c in enumerate(columns.values()) for m in (F.count(c).alias(f"n{i}"), sketch(c.cast("double")).alias(f"s{i}"))]
+    row = df.agg(*measures).first()
+    rows, brackets = {}, {}
+    for i, name in enumerate(columns):
+        rows[name] = row[f"n{i}"]
+        if rows[name] <= 2 * accuracy:  # the sketch's share is less than a row: one bracket for all
+            brackets[name] = [(None, None)]
+            continue
+        ends = row[f"s{i}"]
+        brackets[name] = _joined([(None if p <= reach else ends[2 * k], None if p >= 1 - reach else ends[2 * k + 1]) for k, p in enumerate(probabilities)])
+    return rows, brackets
+
+
+def _joined(brackets: list[Bracket]) -> list[Bracket]:
+    """Disjoint brackets in ascending order; a missing end is open."""
+    start = lambda b: -math.inf if b[0] is None else b[0]
+    out: list[Bracket] = []
+    for low, high in sorted(brackets, key=start):
+        if out and (out[-1][1] is None or low is None or low <= out[-1][1]):
+            before = out[-1]
+            out[-1] = (before[0], None if before[1] is None or high is None else max(before[1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _without_gap(brackets: list[Bracket], slot: int) -> list[Bracket]:
+    """Brackets in which the gap ``slot`` is closed, by joining what lies on both of its sides."""
+    at = slot // 2
+    low = brackets[at - 1][0] if at else None
+    high = brackets[at][1] if at < len(brackets) else None
+    return [*brackets[: max(at - 1, 0)], (low, high), *brackets[at + 1 :]]
+
+
+def _slot(value: Column, brackets: list[Bracket]) -> Column:
+    """The number of the gap (even) or bracket (odd) that ``value`` falls in."""
+    slot = F.lit(2 * len(brackets))
+    for i, (low, high) in reversed(list(enumerate(brackets))):
+        slot = F.when(value <= high, 2 * i + 1).otherwise(slot) if high is not None else F.lit(2 * i + 1)
+        slot = F.when(value < low, 2 * i).otherwise(slot) if low is not None else slot
+    return slot
+
+
+def _looked_up(df, columns, brackets, ranks) -> list[tuple[str, int, float, int]]:
+    """(column, rank, value, slot) of the wanted ranks; one scan of ``df``, then work on what lies in brackets."""
+    names = list(columns)
+    cells = []
+    for i, name in enumerate(names):
+        value = columns[name].cast("double")
+        slot = _slot(value, brackets[name])
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("of"), slot.alias("slot"), F.when(slot % 2 == 1, value).alias("value"))))
+    counted = df.select(F.inline(F.array_compact(F.array(*cells)))).groupBy("of", "slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    laid = settle(settle(counted).repartitionByRange("of", "slot", "value").withColumn("part", F.spark_partition_id()))
+    sums = laid.groupBy("of", "part").agg(F.sum("n").alias("held"))
+    earlier = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+    asked = F.array(*[F.struct(F.lit(i).alias("of"), F.lit(r).cast("long").alias("rank")) for i, n in enumerate(names) for r in ranks[n]])
+    asked = df.sparkSession.range(1).select(F.inline(asked))
+    at = asked.join(sums, "of").filter("before <= rank AND rank < before + held").select("of", "part", "rank", "before")
+    upto = Window.partitionBy("of", "rank").orderBy("slot", "value")
+    met = laid.join(at, ["of", "part"]).withColumn("reached", F.col("before") + F.sum("n").over(upto))
+    hit = met.filter("rank >= reached - n AND rank < reached").select("of", "rank", "value", "slot").collect()
+    return [(names[r["of"]], r["rank"], r["value"], r["slot"]) for r in hit]
+
+
+def quantile(df: DataFrame, column: Column, probability: float) -> float | None:
+    return exact_quantiles(df, {"q": column}, [probability])["q"][0]
+
+
+def median(df: DataFrame, column: Column) -> float | None:
+    return quantile(df, column, 0.5)

@@ -161,12 +161,12 @@ def date_columns(df: DataFrame) -> list[str]:
 
 
 def timeliness(df: DataFrame, as_of: datetime, dates: Sequence[str] | None = None, days: int = CURRENT_DAYS) -> DataFrame:
-    """Share of rows at most ``days`` old among the rows with a readable date; of several date columns
-    a row's newest date counts.
+    """Share of rows at most ``days`` old among the rows with a readable date; of several ``dates`` a row's newest counts.
 
-    Future dates count as current.  Without a date column everything is current.
+    By default the first date column is looked at: which others tell when a row was last true (and not when it
+    expires), only the caller knows.  Future dates count as current.  Without a date column everything is current.
     """
-    found = [c for c in dates if c in df.columns] if dates else date_columns(df)
+    found = [c for c in dates if c in df.columns] if dates else date_columns(df)[:1]
     if not found:
         return df.agg(
             _rows().alias("total_records"), _rows().alias("current_records"),
@@ -234,7 +234,7 @@ def quality(
     """
     looked_at = [c for c in required if c in df.columns] if required else df.columns
     keyed = [c for c in keys if c in df.columns] if keys else df.columns
-    found = [c for c in dates if c in df.columns] if dates else date_columns(df)
+    found = [c for c in dates if c in df.columns] if dates else date_columns(df)[:1]
     measures = {
         "total_records": _rows(),
         "complete_records": _all_present(looked_at),

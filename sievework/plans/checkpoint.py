@@ -15,7 +15,6 @@ from sievework.functions.text import has_token
 from sievework.operators import findings as finding
 from sievework.operators import outliers, rulebook, rules, scores
 from sievework.operators.anomalies import all_anomalies
-from sievework.operators.quantiles import EXACT_ROWS
 from sievework.session import settle
 
 
@@ -29,7 +28,7 @@ class QaRun:
 
 def run_stage(
     df: DataFrame, dataset: str, table: str, stage: str, as_of: datetime, tie: Sequence[str] = (),
-    batch_id: int | None = None, exact_rows: int = EXACT_ROWS, extra_rules: Sequence[rules.Rule] = (),
+    batch_id: int | None = None, extra_rules: Sequence[rules.Rule] = (),
 ) -> QaRun:
     """QA of one stage.
 
@@ -46,12 +45,12 @@ def run_stage(
     if stage.lower() == "transform":
         numeric = [c for c in scores.numeric_columns(df) if not has_token(c, "id")]
         if numeric:
-            anomalies = outliers.outlier_summary(df, outliers.outlier_tests(df, numeric, exact_rows=exact_rows), numeric)
+            anomalies = outliers.outlier_summary(df, outliers.outlier_tests(df, numeric), numeric)
     elif stage.lower() == "load":
         checks = rowwise.compliance_detectors(df.columns)
         anomalies = rowwise.summarise(df, checks) if checks else None
     elif stage.lower() != "extract":
-        anomalies = all_anomalies(df, tie, exact_rows=exact_rows)
+        anomalies = all_anomalies(df, tie)
     if anomalies is not None:
         anomalies = settle(anomalies)
     listed = [finding.rule_findings(results, label, as_of, batch_id)] if results is not None else []

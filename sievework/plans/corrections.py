@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievework.functions import codes
 from sievework.functions.scoring import flag, outside
 from sievework.operators import rules
-from sievework.operators.quantiles import EXACT_ROWS, median
+from sievework.operators.quantiles import median
 
 # Fixed values of the demonstration data set.
 VALID_STATES = ("CA", "TX", "NY", "FL", "WA")
@@ -70,13 +70,13 @@ def short_issues() -> dict[str, Column]:
     }
 
 
-def standard_corrections(df: DataFrame, number: Column, exact_rows: int = EXACT_ROWS) -> list[Correction]:
+def standard_corrections(df: DataFrame, number: Column) -> list[Correction]:
     """The eleven corrections; ``number`` is a stable row number for rebuilt ids.
 
     The median of the positive emissions is looked up first (one small collect).
     """
     emission = F.col("annual_emission_amount")
-    typical = median(df, F.when(emission > 0, emission), exact_rows)
+    typical = median(df, F.when(emission > 0, emission))
     checks = issues()
     digits = number.cast("string")
     return [
@@ -94,10 +94,10 @@ def standard_corrections(df: DataFrame, number: Column, exact_rows: int = EXACT_
     ]
 
 
-def short_corrections(df: DataFrame, exact_rows: int = EXACT_ROWS) -> list[Correction]:
+def short_corrections(df: DataFrame) -> list[Correction]:
     """The corrections of the short demonstration."""
     emission = F.col("emission_amount")
-    typical = median(df, F.when(emission > 0, emission), exact_rows)
+    typical = median(df, F.when(emission > 0, emission))
     latitude, longitude = F.col("latitude"), F.col("longitude")
     return [
         Correction("names", F.col("facility_name") == "", {"facility_name": F.lit("Unknown Facility")}),

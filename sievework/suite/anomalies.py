@@ -51,7 +51,7 @@ def modified_z(spark, sf):
 def modified_z_long_column(spark, sf):
     """The same with the rank search that columns beyond the exact limit use."""
     rows = table(spark, sf, "events")
-    tests = outliers.outlier_tests(rows, ["value"], ["modified_z_score"], exact_rows=200)
+    tests = outliers.outlier_tests(rows, ["value"], ["modified_z_score"], accuracy=100)
     return rounded(outliers.outlier_rows(rows, tests, ["event_id"]).select("event_id", "value", "score"), 4)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from sievework.functions import codes
@@ -422,6 +424,22 @@ def timeliness(spark, sf):
     return rounded(scores.timeliness(table(spark, sf, "events"), AS_OF, ["ts"], days=10))
 
 
+LATE = datetime(1998, 12, 1)
+
+
+@query(
+    "timeliness_two_dates",
+    """WITH seen AS (SELECT greatest(l_shipdate, CASE WHEN l_returnflag = 'R' THEN l_shipdate + l_linenumber * INTERVAL 30 DAY END) AS t FROM lineitem),
+    aged AS (SELECT t, epoch_us(TIMESTAMP '1998-12-01') - epoch_us(t) AS age FROM seen)
+    SELECT count(*) AS total_records, count(*) FILTER (WHERE age <= 1000 * 86400000000) AS current_records,
+    round(count(*) FILTER (WHERE age <= 1000 * 86400000000) * 100e0 / count(t), 6) AS timeliness_score, round(avg(floor(age / 86400000000)), 6) AS avg_data_age_days FROM aged""",
+)
+def timeliness_two_dates(spark, sf):
+    """Of two dates of a row, here those of shipping and of a return, the newest counts."""
+    back = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber") * 30))
+    return rounded(scores.timeliness(table(spark, sf, "lineitem").withColumn("return_date", back), LATE, ["l_shipdate", "return_date"], days=1000))
+
+
 _SCORED = ("l_orderkey", "l_linenumber", "pollutant_name", "annual_emission_amount", "unit_of_measure")
 _TEXT = ("pollutant_name", "unit_of_measure")
 

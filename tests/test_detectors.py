@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.operators import anomalies, detectors, outliers, series
 from sievework.operators.clusters import Clustering
 from sievework.operators.ordering import dense_positions
+from sievework.operators import quantiles
 from sievework.operators.quantiles import exact_quantiles
 from sievework.plans.reports import facility_ranking
 
@@ -22,10 +23,10 @@ def numbers():
     return values
 
 
-@pytest.mark.parametrize("exact_rows", [10, 1000])
-def test_outliers(spark, numbers, exact_rows):
+@pytest.mark.parametrize("accuracy", [10, 1000])
+def test_outliers(spark, numbers, accuracy):
     df = spark.createDataFrame(pd.DataFrame({"id": range(len(numbers)), "x": numbers}))
-    tests = outliers.outlier_tests(df, ["x"], exact_rows=exact_rows)
+    tests = outliers.outlier_tests(df, ["x"], accuracy=accuracy)
     found = outliers.outlier_rows(df, tests, ["id"]).groupBy("method").agg(F.collect_set("id").alias("ids")).collect()
     x = numbers[~np.isnan(numbers)]
     q1, q3, mid = np.percentile(x, [25, 75, 50])
@@ -49,17 +50,45 @@ def test_degenerate_columns_have_no_outliers(spark):
     assert len(out) == 6 and all(r.anomaly_count == 0 for r in out)
 
 
-@pytest.mark.parametrize("exact_rows", [1, 7, 100, 10_000])
-def test_quantiles(spark, exact_rows):
+@pytest.mark.parametrize("accuracy", [1, 7, 100, 10_000])
+def test_quantiles(spark, accuracy):
     rng = np.random.default_rng(1)
-    frames = {"a": rng.integers(0, 20, 3000).astype(float), "b": rng.normal(size=3000)}
+    frames = {"a": rng.integers(0, 20, 3000).astype(float), "b": rng.normal(size=3000), "c": np.where(rng.random(3000) < 0.4, 7.5, rng.exponential(9, 3000))}
     df = spark.createDataFrame(pd.DataFrame(frames)).repartition(5)
+    df = df.withColumns({"few": F.when(F.col("b") > 3.2, F.col("b")), "none": F.lit(None).cast("double")})
+    frames["few"] = frames["b"][frames["b"] > 3.2]
     points = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    found = exact_quantiles(df, {c: F.col(c) for c in frames}, points, exact_rows)
+    found = exact_quantiles(df, {c: F.col(c) for c in df.columns}, points, accuracy)
+    assert found["none"] == [None] * len(points)
     for name, values in frames.items():
         assert found[name] == pytest.approx(list(np.quantile(values, points)))
 
 
+def test_quantiles_do_not_rely_on_the_sketch(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    values = rng.normal(size=2000)
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    wrong = [(-1.0, -0.9), (0.5, 0.6), (0.8, 0.9)]
+    monkeypatch.setattr(quantiles, "_sketched", lambda *_: ({"x": 2000}, {"x": list(wrong)}))
+    points = [0.02, 0.17, 0.5, 0.7, 0.99]
+    assert exact_quantiles(df, {"x": F.col("x")}, points)["x"] == pytest.approx(list(np.quantile(values, points)))
+
+
+@pytest.mark.parametrize("rows", [500, 60_000])
+def test_quantiles_scan_the_source_twice(spark, rows):
+    """An accumulator counts how often the source, one partition, is read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        seen.add(1)
+        yield from batches
+
+    made = spark.range(rows, numPartitions=1).select((F.hash("id") % 1000).cast("double").alias("a"), F.rand(1).alias("b"), F.randn(2).alias("c"))
+    df = made.mapInPandas(look, "a double, b double, c double")
+    exact_quantiles(df, {c: F.col(c) for c in "abc"}, [0.25, 0.5, 0.75], accuracy=1000)
+    assert seen.value == 2
+
+
 def points_of(n, seed=3):
     rng = np.random.default_rng(seed)
     values = np.cumsum(rng.normal(size=n))
