@@ -16,8 +16,16 @@ from sievework.session import settle
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at 16 MB, so that long texts don't fill a Python worker; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":  # the default
+        spark.conf.set(name, "16m")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
+    small_batches(spark)
     base = spark.sparkContext.getCheckpointDir()
     if base is None:
         settle(spark.range(1))

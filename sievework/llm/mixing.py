@@ -136,13 +136,15 @@ class Mixture:
 
     def __init__(self, docs: DataFrame, shards: int = 16, block_words: int = 500_000, seed: str = "mix") -> None:
         self.docs, self.shards, self.block_words, self.seed = docs, shards, block_words, seed
-        text = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"))
-        self.sizes = stored(self._keyed(text), "mix-sizes")
+        text = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), words(F.col("text")).alias("size"))
+        self.sizes = stored(self._keyed(text).drop("text"), "mix-sizes")
         self.sources = stored(self._sources(), "mix-sources")
         self.blocks = stored(self._blocks(), "mix-blocks")
 
     def _keyed(self, docs: DataFrame) -> DataFrame:
-        return docs.select("*", unit_hash(F.lit(self.seed), F.col("doc_id")).alias("hash"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"))
+        """``docs`` with ``hash``, their order within a source: that of id and text, so that rows without id are spread."""
+        hashed = unit_hash(F.lit(self.seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+        return docs.select("*", hashed.alias("hash"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"))
 
     @staticmethod
     def _block(parts: str = "parts") -> Column:
@@ -222,7 +224,7 @@ class Mixture:
         If ``arranged``, a partition holds whole shards, each in a shuffled order of its own.
         """
         mine = self.docs.columns
-        packed = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in mine]).alias("row"), F.col("doc_id"), F.col("source"))
+        packed = self.docs.select(F.struct(*[F.col(f"`{c}`") for c in mine]).alias("row"), F.col("doc_id"), F.col("source"), F.col("text"))
         drawn = self._drawn(self._keyed(packed)).select("row", "hash", F.explode("draws").alias("draw"))
         if arranged:
             drawn = drawn.select("row", F.col("draw.shard").alias("shard"), unit_hash(F.lit(self.seed), F.col("hash"), F.col("draw.pass"), F.lit("order")).alias("at"))

@@ -8,7 +8,8 @@ centroid.  That ratio is set on the sample, where the true neighbours are known.
 sample and are broadcast; lists are tables, and a long list (say of equal vectors) is cut into chunks.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part.  Rows that share an id and
-a vector count once; rows with the query's id are its own.  If candidates are too few for one list, all are read.
+a vector count once; different vectors of one id are candidates each, and rows with the query's id are its own.  Ties go
+to the smaller id.  If candidates are too few for one list, all are read.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def search(index: Index, lists: DataFrame, queries: DataFrame, k: int = 10) -> D
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
     met = asked.groupBy("list", "chunk").cogroup(rows.groupBy("list", "chunk")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return ranked(met.dropDuplicates(["query_id", "vec_id"]), k, F.col("score").asc()).select("query_id", "rank", "vec_id", "score")
+    return ranked(met.dropDuplicates(["query_id", "vec_id", "score"]), k, F.col("score").asc()).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, **options) -> DataFrame:

@@ -71,10 +71,21 @@ def top_of_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def whole_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of a block for every query by all its products, in integers."""
+    out = []
+    for qid, row in zip(qids, q @ x.T):
+        at = np.flatnonzero(ids != qid)
+        best = at[np.lexsort((ids[at], -row[at]))[:k]]
+        out.append((np.full(len(best), qid), ids[best], row[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector: str = "ints", block: int = 8192, queries_block: int = 2048, chunk: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` highest inner products of whole-number vectors.
 
-    ``is_query`` marks the rows that are queries too.  Bounds are exact while products stay below 2**53.
+    ``is_query`` marks the rows that are queries too.  Bounds are exact while products stay below 2**53; blocks beyond
+    are scored whole in 64-bit integers, and vectors whose scores might not fit these end the query with an error.
     """
     clean = stored(vectors.filter(F.col(id_column).isNotNull() & usable(F.col(vector))).select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q")).dropDuplicates(["vec_id", "v"]), "topk-vectors")
     sizes = clean.agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
@@ -89,16 +100,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         q, x = matrix(left["v"], width, np.float64), matrix(right["v"], width, np.float64)
-        if width * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 2**24:
+        largest = width * np.abs(q).max(initial=0) * np.abs(x).max(initial=0)
+        if largest < 2**24:
             q, x = q.astype(np.float32), x.astype(np.float32)
+        if largest >= 2**63:
+            raise ValueError("scores of these vectors don't fit a long")
+        block_of = top_of_block
+        if largest >= 2**53:  # beyond what doubles hold exactly
+            q, x, block_of = q.astype(np.int64), x.astype(np.int64), whole_block
         qids, ids = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        found = [top_of_block(ids, x, qids[i : i + chunk], q[i : i + chunk], k) for i in range(0, len(qids), chunk)]
+        found = [block_of(ids, x, qids[i : i + chunk], q[i : i + chunk], k) for i in range(0, len(qids), chunk)]
         a, b, c = (np.concatenate(z) for z in zip(*found))
-        return pa.table({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": np.rint(c).astype(np.int64)})
+        return pa.table({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": c if c.dtype == np.int64 else np.rint(c).astype(np.int64)})
 
     met = queries.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInArrow(meet, "query_id long, vec_id long, score long")
     return ranked(met, k, F.desc("score")).select("query_id", "rank", "vec_id", "score")
 
 
 def whole_numbers(vector: Column, scale: int = 64) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("int"))
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))

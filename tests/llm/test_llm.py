@@ -143,10 +143,15 @@ def test_mixing(docs, none):
 
 
 def test_mixing_long_document_first_in_its_block(spark):
-    place = lambda i: int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:15], 16)
-    ids = sorted(range(40), key=place)
-    block = [(place(i) >> 29) * 5 >> 31 for i in ids]
-    first = block.index(3)
+    text = lambda i, long: "w " * (110 if i == long else 10)
+    place = lambda i, long: int(hashlib.md5(f"mix|{i}|{hashlib.md5(text(i, long).encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+    for long in range(40):  # one of them is the first of its block if it is the long one
+        ids = sorted(range(40), key=lambda i: place(i, long))
+        block = [(place(i, long) >> 29) * 5 >> 31 for i in ids]
+        first = ids.index(long)
+        if block[first] == 3 and block.index(3) == first:
+            break
+    assert block.index(3) == ids.index(long)
     # source a: 39 x 10 + 110 words in five blocks; its target, a third of all words, ends 20 words into the long document
     sizes = {i: 110 if i == ids[first] else 10 for i in ids}
     rest = 10 * first + 20
