@@ -71,10 +71,10 @@ def test_neighbours_of_one_id(spark):
 
 
 def test_topk_of_large_components(spark):
-    rows = [(20, [1e8 + 1, -3.5]), (1, [2.0, 1.0]), (2, [1e7 + 1, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1e7 + 1, 1.0])]
+    rows = [(20, [1e7 + 3, -3.5]), (1, [2.0, 1.0]), (2, [1e7 + 1, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1e7 + 1, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", "embedding", topk.whole_numbers(F.col("embedding")).alias("ints")).filter(topk.usable(F.col("embedding")))
     got = [(r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
-    of = lambda a, b: int(64 * (1e8 + 1)) * a - 224 * b
+    of = lambda a, b: int(64 * (1e7 + 3)) * a - 224 * b
     assert got == [(2, of(64 * (10**7 + 1), 0)), (5, of(64 * (10**7 + 1), 64)), (1, of(128, 64))] and got[0][1] > 2**53
     none = topk.search(df.filter("vec_id < 0"), F.col("vec_id") % 20 == 0)
     assert none.count() == 0
