@@ -1,12 +1,16 @@
 """Parquet tables: staging appends, batches, upserts, truncation and table facts.
 
-A table is a folder of versions.  Replacing a table writes the next version and only then becomes
-visible through its ``_SUCCESS`` mark, so a job never reads what it overwrites and a lost job leaves
-the old version in place.
+A table is a folder of versions.  A new version becomes visible through its ``_SUCCESS`` mark only when it is whole,
+so a job never reads what it overwrites and a lost job leaves the old version in place.
+
+An upsert writes only the partitions it has rows for into the next version, whose manifest lists the partitions that
+are carried over from earlier ones.  A table without partition columns in its key is cut into hash buckets of the key,
+so that an upsert of few rows still rewrites few files.  ``expire`` removes what no kept version lists.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from operator import and_
@@ -14,12 +18,17 @@ from operator import and_
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.operators.ordering import dense_positions
 
 ETL_COLUMNS = ("etl_batch_id", "etl_load_date", "etl_source_file", "etl_row_number")
 BATCH_COLUMN = "etl_batch_id"
 PART_COLUMN = "written_by"
+MANIFEST = "_manifest.json"
+BUCKET_COLUMN = "key_bucket"
+KEY_BUCKETS = 16  # of a table whose key holds no partition column, unless it is made with another number
+MAX_CARRIED = 8  # versions a manifest may carry partitions over from
 ROW_KEY = "_row_key"  # hash of what a row is about; kept in staging to find repeats of other batches
 
 
@@ -45,6 +54,30 @@ class Tables:
         fs, _ = self._files(folder)
         fs.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"), True).close()
 
+    def _text(self, path: str) -> str | None:
+        jvm = self.spark.sparkContext._jvm
+        fs, _ = self._files(path.rsplit("/", 1)[0])
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        if not fs.exists(place):
+            return None
+        stream = fs.open(place)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _leaves(self, folder: str, depth: int, above: str = "") -> list[str]:
+        """Partition folders ``depth`` levels below ``folder``, as paths relative to it."""
+        names = [c.getName() for c in self._files(f"{folder}/{above}" if above else folder)[1]]
+        found = [f"{above}/{n}" if above else n for n in names if "=" in n]
+        return found if depth <= 1 else [leaf for f in found for leaf in self._leaves(folder, depth - 1, f)]
+
+    def manifest(self, name: str, schema: str = "core", version: int | None = None) -> dict | None:
+        """What a version made by an upsert is made of: ``schema, partition_by, buckets`` and ``leaves`` by version."""
+        at = f"{self.path(name, schema)}/v{version}" if version else self.current(name, schema)
+        text = self._text(f"{at}/{MANIFEST}")
+        return json.loads(text) if text else None
+
     def versions(self, name: str, schema: str = "core") -> list[int]:
         fs, children = self._files(self.path(name, schema))
         jvm = self.spark.sparkContext._jvm
@@ -69,10 +102,29 @@ class Tables:
         return f"{self.path(name, schema)}/v{known[-1]}"
 
     def read(self, name: str, schema: str = "core") -> DataFrame:
-        return self.spark.read.parquet(self.current(name, schema))
-
-    def append(self, df: DataFrame, name: str, schema: str = "core", partition_by: tuple[str, ...] = ()) -> None:
+        known = self.manifest(name, schema)
+        if known is None:
+            return self.spark.read.parquet(self.current(name, schema))
+        return self._listed(name, schema, known).drop(BUCKET_COLUMN)
+
+    def _listed(self, name: str, schema: str, known: dict) -> DataFrame:
+        """The partitions that a manifest lists, with the bucket column."""
+        columns = T.StructType.fromJson(known["schema"])
+        frames = []
+        for version, leaves in known["leaves"].items():
+            base = f"{self.path(name, schema)}/v{version}"
+            if leaves:
+                reader = self.spark.read.schema(columns).option("basePath", base)
+                frames.append(reader.parquet(*[f"{base}/{leaf}" for leaf in leaves]).select(*columns.names))
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], columns)
+
+    def append(self, df: DataFrame, name: str, schema: str = "core", partition_by: tuple[str, ...] = (), part: str | None = None) -> None:
+        """Add rows; under the name of a ``part`` repeating the step doesn't repeat them (see ``put``)."""
+        if part is not None:
+            return self.put(df, name, part, schema)
         known = self.versions(name, schema)
+        if known and self.manifest(name, schema) is not None:
+            raise ValueError(f"{schema}.{name} is kept by upserts; rows can't be appended to it")
         target = f"{self.path(name, schema)}/v{known[-1] if known else 1}"
         df.write.mode("append").partitionBy(*partition_by).parquet(target)
 
@@ -150,30 +202,98 @@ class Tables:
 
     def upsert(
         self, source: DataFrame, name: str, keys: list[str], schema: str = "core", order: list[str] | None = None,
-        partition_by: tuple[str, ...] = (),
+        partition_by: tuple[str, ...] = (), buckets: int = KEY_BUCKETS,
     ) -> None:
         """Update rows whose key exists, insert the others.
 
-        When the key holds the partition columns, only partitions the source has rows for are read
-        and written (by dynamic overwrite; repeating a lost upsert gives the same rows).  Otherwise the
-        table is replaced by its next version.
+        Only partitions that the source has rows for are read and written, into the next version; the others are
+        listed by its manifest.  Partitions are those of ``partition_by`` if the key holds these columns, else hash
+        buckets of the key.  A table made in another way is written anew once.  The names of touched partitions are
+        collected, not their rows.
         """
+        parts = partition_by if partition_by and set(partition_by).issubset(keys) else (BUCKET_COLUMN,)
+        known = self.manifest(name, schema) if self.exists(name, schema) else None
+        count = known["buckets"] if known else buckets
+        bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(count)).cast("int")
+        placed = lambda df: df if parts != (BUCKET_COLUMN,) else df.withColumn(BUCKET_COLUMN, bucket)
+        incoming = placed(source)
         if not self.exists(name, schema):
-            self.replace(newest_per_key(source, keys, order), name, schema, partition_by)
+            self._next_version(newest_per_key(incoming, keys, order), name, schema, parts, count, {}, keys)
             return
-        target = self.read(name, schema)
-        if not partition_by or not set(partition_by).issubset(keys):
-            self.replace(upsert(target, source, keys, order), name, schema, partition_by)
+        if known is None or known["partition_by"] != list(parts) or known["keys"] != list(keys):
+            self._next_version(upsert(placed(self.read(name, schema)), incoming, keys, order), name, schema, parts, count, {}, keys)
             return
-        touched = source.select(*partition_by).distinct()
-        same = reduce(and_, [target[c].eqNullSafe(touched[c]) for c in partition_by])
-        merged = upsert(target.join(touched, same, "left_semi"), source, keys, order)
-        (
-            merged.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partition_by)
-            .parquet(self.current(name, schema))
-        )
+        carried = {int(v): list(leaves) for v, leaves in known["leaves"].items()}
+        target = self._listed(name, schema, known)
+        touched = incoming.select(*parts).distinct()
+        values = touched.collect()
+        oldest = min(carried) if len(carried) >= MAX_CARRIED else None
+        if oldest is not None:  # its partitions move along, so that a manifest never lists many versions
+            base = f"{self.path(name, schema)}/v{oldest}"
+            moved = self.spark.read.schema(target.schema).option("basePath", base).parquet(*[f"{base}/{leaf}" for leaf in carried[oldest]]) if carried[oldest] else None
+            if moved is not None:
+                values = values + moved.select(*parts).distinct().collect()
+        if not values:
+            return
+        # Constants prune the folders to be read; the join keeps exactly the touched ones.
+        kinds = T.StructType([target.schema[c] for c in parts])
+        for i, column in enumerate(parts):
+            some = sorted({v[i] for v in values if v[i] is not None})
+            test = F.col(column).isin(some)
+            target = target.filter(test | F.col(column).isNull() if any(v[i] is None for v in values) else test)
+        if len(parts) > 1:
+            wanted = self.spark.createDataFrame(sorted(set(map(tuple, values)), key=repr), kinds)
+            target = target.join(wanted, reduce(and_, [target[c].eqNullSafe(wanted[c]) for c in parts]), "left_semi")
+        self._next_version(upsert(target, incoming, keys, order), name, schema, parts, count, carried, keys)
+
+    def _next_version(self, df: DataFrame, name: str, schema: str, parts: tuple[str, ...], buckets: int, carried: dict[int, list[str]], keys: list[str] | None = None) -> None:
+        """Write ``df`` as partitions of the next version, then its manifest, then the mark that makes it visible."""
+        known = self.versions(name, schema)
+        number = known[-1] + 1 if known else 1
+        folder = f"{self.path(name, schema)}/v{number}"
+        files = df.repartition(*parts) if parts == (BUCKET_COLUMN,) else df
+        files.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(*parts).parquet(folder)
+        own = self._leaves(folder, len(parts))
+        leaves = {v: [leaf for leaf in held if leaf not in set(own)] for v, held in carried.items()}
+        listed = {str(v): held for v, held in leaves.items() if held} | {str(number): own}
+        order = [c for c in df.columns if c not in parts] + list(parts)
+        fields = [T.StructField(c, df.schema[c].dataType, True) for c in order]
+        text = json.dumps({"schema": T.StructType(fields).jsonValue(), "partition_by": list(parts), "keys": list(keys or []), "buckets": buckets, "leaves": listed})
+        fs, _ = self._files(folder)
+        stream = fs.create(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, MANIFEST), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._mark(folder)
+
+    def expire(self, name: str, schema: str = "core", keep: int = 2) -> None:
+        """Remove versions before the last ``keep``, but for the partitions that kept ones list."""
+        known = self.versions(name, schema)
+        kept = known[-keep:]
+        used: dict[int, set[str] | None] = {v: None for v in kept}  # None: as a whole
+        for version in kept:
+            for of, leaves in ((self.manifest(name, schema, version) or {}).get("leaves") or {}).items():
+                if used.get(int(of), ()) is not None:
+                    used.setdefault(int(of), set()).update(leaves)
+        jvm = self.spark.sparkContext._jvm
+        fs, children = self._files(self.path(name, schema))
+        for child in children:
+            label = child.getName()
+            if not (label.startswith("v") and label[1:].isdigit()) or int(label[1:]) > known[-1]:
+                continue
+            held = used.get(int(label[1:]), set())
+            if held is None:
+                continue
+            if not held:
+                fs.delete(child, True)
+                continue
+            for file in ("_SUCCESS", MANIFEST):  # a part of a version can't be read by itself any more
+                fs.delete(jvm.org.apache.hadoop.fs.Path(child, file), False)
+            depth = next(iter(held)).count("/") + 1
+            for leaf in self._leaves(child.toString(), depth):
+                if leaf not in held:
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(child, leaf), True)
 
     def info(self, name: str, schema: str = "core") -> DataFrame:
         return table_info(self.read(name, schema), f"{schema}.{name}")

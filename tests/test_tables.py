@@ -1,5 +1,6 @@
 """Reading, staging, upserts, loads and streams."""
 
+from pathlib import Path
 from datetime import datetime
 
 import pytest
@@ -64,6 +65,69 @@ def test_upsert(spark, tables, partition_by):
     assert sorted((r.v, r.created_by) for r in rows if r.k is None) == [("m", "new"), ("m", "new"), ("n", "old")]
 
 
+def leaf_files(tables, name):
+    """The data files of the current version, by partition."""
+    known, found = tables.manifest(name), {}
+    for version, leaves in known["leaves"].items():
+        for leaf in leaves:
+            folder = Path(tables.path(name)) / f"v{version}" / leaf
+            found[leaf] = sorted(str(f) for f in folder.glob("*.parquet"))
+    return found
+
+
+@pytest.mark.parametrize("partition_by", [(), ("y",), ("y", "z")])
+def test_upsert_writes_touched_partitions_only(spark, tables, partition_by):
+    base = spark.range(400).selectExpr("id AS k", "int(id % 5) AS y", "if(id % 3 = 0, null, concat('z/=', id % 3)) AS z", "'old' AS v")
+    keys = ["k", "y", "z"] if partition_by else ["k"]
+    tables.upsert(base, "t", keys, partition_by=partition_by)
+    before = leaf_files(tables, "t")
+    assert len(before) == {(): 16, ("y",): 5, ("y", "z"): 15}[partition_by]
+    change = base.filter("k = 7").withColumn("v", F.lit("new")).withColumn("more", F.lit(1))
+    tables.upsert(change, "t", keys, partition_by=partition_by)
+    after = leaf_files(tables, "t")
+    changed = [leaf for leaf in after if after[leaf] != before.get(leaf)]
+    assert len(changed) == 1 and set(after) == set(before)
+    got = {r.k: (r.v, r.more) for r in tables.read("t").collect()}
+    assert len(got) == 400 and got[7] == ("new", 1) and set(got.values()) == {("old", None), ("new", 1)}
+    assert set(tables.read("t").columns) == {"k", "y", "z", "v", "more"}
+    tables.upsert(change.limit(0), "t", keys, partition_by=partition_by)
+    assert leaf_files(tables, "t") == after
+    with pytest.raises(ValueError):
+        tables.append(base, "t")
+
+
+def test_broken_upsert_leaves_the_old_rows(spark, tables):
+    base = spark.range(100).selectExpr("id AS k", "int(id % 4) AS y", "'old' AS v")
+    tables.upsert(base, "t", ["k", "y"], partition_by=("y",))
+    bad = base.filter("y = 1").withColumn("v", F.when(F.col("k") == 97, F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception, match="lost"):
+        tables.upsert(bad, "t", ["k", "y"], partition_by=("y",))
+    assert sorted(map(tuple, tables.read("t").collect())) == sorted(map(tuple, base.select(*tables.read("t").columns).collect()))
+    tables.upsert(base.filter("y = 1").withColumn("v", F.lit("new")), "t", ["k", "y"], partition_by=("y",))
+    assert tables.read("t").filter("v = 'new'").count() == 25 and tables.read("t").count() == 100
+
+
+def test_versions_expire_but_carried_partitions_stay(spark, tables):
+    base = spark.range(60).selectExpr("id AS k", "int(id % 6) AS y", "0 AS v")
+    tables.upsert(base, "t", ["k", "y"], partition_by=("y",))
+    for step in range(1, 13):  # more versions than a manifest carries partitions over from
+        tables.upsert(base.filter(f"y = {step % 5}").withColumn("v", F.lit(step)), "t", ["k", "y"], partition_by=("y",))
+        if step % 4 == 0:
+            tables.expire("t")
+        assert len(tables.manifest("t")["leaves"]) <= 9
+    want = {y: max(s for s in range(0, 13) if s == 0 or s % 5 == y) for y in range(5)} | {5: 0}
+    got = tables.read("t").groupBy("y").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("k").alias("n")).collect()
+    assert {r.y: (r.low, r.high, r.n) for r in got} == {y: (v, v, 10) for y, v in want.items()}
+    assert len(tables.versions("t")) == 2
+
+
+def test_parts_of_an_append_are_written_once(spark, tables):
+    for _ in range(2):
+        tables.append(spark.range(4), "p", part="first")
+    tables.append(spark.range(3), "p", part="second")
+    assert tables.read("p").count() == 7
+
+
 def test_truncate_counts_and_info(spark, tables):
     tables.append(spark.range(4), "t")
     tables.append(spark.range(3), "t")
