@@ -204,12 +204,16 @@ def coarse_locations(spark, sf):
     return found.select("facility_id")
 
 
-def noise_sql(frame_name: str, ids: str, x: str, y: str) -> str:
+def core_sql(frame_name: str, x: str, y: str, eps: float = 0.5) -> str:
     return f"""p AS (SELECT {x} AS lat, {y} AS lon, count(*) AS weight FROM {frame_name} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2),
       s AS (SELECT avg({x}) AS mx, stddev_pop({x}) AS sx, avg({y}) AS my, stddev_pop({y}) AS sy FROM {frame_name} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
       z AS (SELECT lat, lon, weight, (lat - mx) / sx AS a, (lon - my) / sy AS b FROM p CROSS JOIN s),
-      core AS (SELECT l.lat, l.lon, any_value(l.a) AS a, any_value(l.b) AS b FROM z AS l JOIN z AS r ON (l.a - r.a) ** 2 + (l.b - r.b) ** 2 <= 0.25e0 GROUP BY l.lat, l.lon HAVING sum(r.weight) >= 5),
-      noise AS (SELECT lat, lon FROM z WHERE NOT EXISTS (SELECT 1 FROM core WHERE (z.a - core.a) ** 2 + (z.b - core.b) ** 2 <= 0.25e0))
+      core AS MATERIALIZED (SELECT l.lat, l.lon, any_value(l.a) AS a, any_value(l.b) AS b FROM z AS l JOIN z AS r ON (l.a - r.a) ** 2 + (l.b - r.b) ** 2 <= {eps}e0 * {eps}e0 GROUP BY l.lat, l.lon HAVING sum(r.weight) >= 5),
+      noise AS (SELECT lat, lon FROM z WHERE NOT EXISTS (SELECT 1 FROM core WHERE (z.a - core.a) ** 2 + (z.b - core.b) ** 2 <= {eps}e0 * {eps}e0))"""
+
+
+def noise_sql(frame_name: str, ids: str, x: str, y: str, eps: float = 0.5) -> str:
+    return core_sql(frame_name, x, y, eps) + f"""
       SELECT {ids} FROM {frame_name} JOIN noise ON {x} = lat AND {y} = lon"""
 
 
@@ -222,12 +226,28 @@ def dbscan_noise(spark, sf):
     return clustering.noise_rows(["event_id"]).select("event_id")
 
 
-@query("dbscan_facilities", cte(f=FACILITIES) + ", " + noise_sql("f", "facility_id", "latitude", "longitude"))
+@query("dbscan_facilities", cte(f=FACILITIES) + ", " + noise_sql("f", "facility_id", "latitude", "longitude", 0.02))
 def dbscan_facilities(spark, sf):
-    return Clustering(frame(spark, sf, FACILITIES), "latitude", "longitude").noise_rows(["facility_id"]).select("facility_id")
-
-
-@query("dbscan_summary")
+    """A radius at which some facilities are alone."""
+    return Clustering(frame(spark, sf, FACILITIES), "latitude", "longitude", eps=0.02).noise_rows(["facility_id"]).select("facility_id")
+
+
+def clusters_sql(frame_name: str, x: str, y: str, eps: float = 0.5) -> str:
+    """Core points of one cell belong together, so the recursion goes over cells with core points within reach."""
+    return core_sql(frame_name, x, y, eps) + f""",
+      c AS MATERIALIZED (SELECT a, b, floor(a / ({eps}e0 / sqrt(2e0))) AS i, floor(b / ({eps}e0 / sqrt(2e0))) AS j FROM core),
+      near AS MATERIALIZED (SELECT DISTINCT l.i, l.j, r.i AS ri, r.j AS rj FROM c AS l JOIN c AS r ON r.i BETWEEN l.i - 2 AND l.i + 2 AND r.j BETWEEN l.j - 2 AND l.j + 2
+        AND (l.a - r.a) ** 2 + (l.b - r.b) ** 2 <= {eps}e0 * {eps}e0),
+      reach AS (SELECT DISTINCT i, j, i AS ri, j AS rj FROM c UNION SELECT reach.i, reach.j, near.ri, near.rj FROM reach JOIN near ON near.i = reach.ri AND near.j = reach.rj),
+      groups AS (SELECT count(DISTINCT first) AS n FROM (SELECT i, j, min({{'i': ri, 'j': rj}}) AS first FROM reach GROUP BY i, j) AS firsts),
+      alone AS (SELECT count(*) AS n FROM {frame_name} JOIN noise ON {x} = lat AND {y} = lon),
+      whole AS (SELECT count(*) AS n, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS placed FROM {frame_name})
+      SELECT 'geographic_clustering' AS detector_name, 'clustering_anomaly' AS anomaly_type, NULL::VARCHAR AS column_name, alone.n AS anomaly_count, whole.n AS total_count,
+        round(alone.n * 100e0 / whole.n, 6) AS anomaly_rate, round(least(alone.n::DOUBLE / placed, 1e0), 6) AS severity_score,
+        'Points that belong to no cluster; clusters found: ' || groups.n AS description FROM alone, whole, groups"""
+
+
+@query("dbscan_summary", cte(t=SPREAD_POINTS).replace("WITH", "WITH RECURSIVE", 1) + ", " + clusters_sql("t", "x", "y"))
 def dbscan_summary(spark, sf):
     """Noise count and number of clusters."""
     return rounded(Clustering(frame(spark, sf, SPREAD_POINTS), "x", "y").summary())
