@@ -149,13 +149,16 @@ def alert_statistics(alerts: DataFrame) -> DataFrame:
     )
 
 
-def health_score(alerts: DataFrame, compliance: Column | float, memory_percent: Column | float = 0.0, cpu_percent: Column | float = 0.0) -> DataFrame:
+def health_score(
+    alerts: DataFrame, compliance: Column | float, memory_percent: Column | float = 0.0, cpu_percent: Column | float = 0.0, keys: list[str] | None = None
+) -> DataFrame:
     """100 less 10 per active critical and 20 per active emergency alert, half of the missing SLA
-    compliance, twice the memory and once the CPU percentage above 85; between 0 and 100."""
+    compliance, twice the memory and once the CPU percentage above 85; between 0 and 100.  One row, or one for
+    each value of ``keys``."""
     as_column = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     active = lambda level: F.count_if((F.col("severity") == level) & ~F.col("resolved"))
     excess = lambda v: F.greatest(F.lit(0.0), as_column(v) - 85.0)
-    counted = alerts.agg(active("CRITICAL").alias("active_critical"), active("EMERGENCY").alias("active_emergency"))
+    counted = alerts.groupBy(*(keys or [])).agg(active("CRITICAL").alias("active_critical"), active("EMERGENCY").alias("active_emergency"))
     score = 100.0 - F.col("active_critical") * 10 - F.col("active_emergency") * 20 - (100.0 - as_column(compliance)) * 0.5 - excess(memory_percent) * 2 - excess(cpu_percent)
     return counted.withColumn("health_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)))
 

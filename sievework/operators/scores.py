@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
-from operator import add, and_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,23 +182,63 @@ def timeliness(df: DataFrame, as_of: datetime, dates: Sequence[str] | None = Non
     )
 
 
+def _slots(value: Column, kind: T.DataType) -> tuple[Column | None, Column | None, Column | None]:
+    """A value as whole number, double or text, whichever keeps different values of its type different."""
+    if isinstance(kind, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return value.cast("bigint"), None, None
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("bigint"), None, None
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value), None, None
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return None, value.cast("double"), None
+    if isinstance(kind, T.BinaryType):
+        return None, None, F.hex(value)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return None, None, F.when(value.isNotNull(), F.to_json(F.struct(value), {"ignoreNullFields": "false"}))
+    return None, None, value.cast("string")
+
+
+def _value_counts(df: DataFrame) -> DataFrame:
+    """One row: ``total_records`` and, of the i-th column, filled ``n<i>``, valid ``v<i>`` and distinct ``d<i>``.
+
+    Every cell becomes a pair (column, value) of fixed width, and equal pairs are counted together inside each task
+    before they are shuffled: a row is never copied whole for each column, however many there are.
+    """
+    kinds = ("bigint", "double", "string")
+    cells = []
+    for i, entry in enumerate(df.schema.fields):
+        slots = _slots(F.col(f"`{entry.name}`"), entry.dataType)
+        cells.append(F.struct(F.lit(i).alias("_i"), *[(F.lit(None) if v is None else v).cast(k).alias(f"_{k}") for v, k in zip(slots, kinds)]))
+    pairs = df.select(F.inline(F.array(*cells))).groupBy("_i", *[f"_{k}" for k in kinds]).agg(_rows().alias("_rows"))
+    texts = [i for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    filled = reduce(or_, [F.col(f"_{k}").isNotNull() for k in kinds])
+    valid = filled & (~F.col("_i").isin(texts) | (F.length(F.trim("_string")) > 0)) if texts else filled
+    by_column = pairs.groupBy("_i").agg(
+        F.sum("_rows").alias("total"), F.sum(F.when(filled, F.col("_rows"))).alias("n"), F.sum(F.when(valid, F.col("_rows"))).alias("v"), F.count_if(filled).alias("d")
+    )
+    measures = [F.coalesce(F.max("total"), F.lit(0)).alias("total_records")]
+    measures += [F.coalesce(F.max(F.when(F.col("_i") == i, F.col(m))), F.lit(0)).alias(f"{m}{i}") for i in range(len(df.columns)) for m in "nvd"]
+    return by_column.agg(*measures)
+
+
+def _sketched_counts(df: DataFrame) -> DataFrame:
+    """The same row with approximate distinct counts; no value is shuffled."""
+    measures: list[Column] = [_rows().alias("total_records")]
+    for i, entry in enumerate(df.schema.fields):
+        value = F.col(f"`{entry.name}`")
+        valid = F.count_if(F.length(F.trim(value)) > 0) if isinstance(entry.dataType, T.StringType) else F.count(value)
+        measures += [F.count(value).alias(f"n{i}"), valid.alias(f"v{i}"), F.approx_count_distinct(value).alias(f"d{i}")]
+    return df.agg(*measures)
+
+
 def column_scores(df: DataFrame, approximate: bool = False) -> DataFrame:
     """0.4 completeness + 0.4 validity + 0.2 uniqueness per column, at most 100.
 
     Text is valid when not blank; other types are valid when present.  ``approximate`` swaps the exact
     distinct counts, the only part that shuffles values, for sketches.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    measures: list[Column] = [_rows().alias("total_records")]
-    for i, entry in enumerate(df.schema.fields):
-        value = F.col(entry.name)
-        valid = F.count_if(F.length(F.trim(value)) > 0) if isinstance(entry.dataType, T.StringType) else None
-        measures += [
-            F.count(value).alias(f"n{i}"),
-            (valid if valid is not None else F.count(value)).alias(f"v{i}"),
-            distinct(value).alias(f"d{i}"),
-        ]
-    counted = df.agg(*measures)
+    counted = _sketched_counts(df) if approximate or not df.columns else _value_counts(df)
     texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     cells = []
     for i, name in enumerate(df.columns):

@@ -194,3 +194,21 @@ def test_timeliness(spark):
     row = scores.timeliness(df, AS_OF).first()
     assert (row.total_records, row.current_records, row.timeliness_score) == (5, 2, pytest.approx(200 / 3))
     assert scores.timeliness(spark.createDataFrame([(date(2024, 5, 31),)], "seen_date date"), AS_OF).first().avg_data_age_days == 1.0
+
+
+def test_column_scores_count_distinct_values_of_every_type_without_copying_rows(spark):
+    rows = spark.sql(
+        """SELECT * FROM VALUES (1, -0.0D, 'a', DATE '2024-01-01', true, array(1, 2), 1.10, named_struct('x', 1, 'y', CAST(NULL AS STRING))),
+        (1, 0.0D, ' ', DATE '2024-01-02', NULL, array(1, 2), 1.1, named_struct('x', 1, 'y', '')), (NULL, double('NaN'), NULL, NULL, false, array(1), 2, NULL),
+        (2, double('NaN'), 'a', NULL, true, NULL, NULL, named_struct('x', 1, 'y', '')) AS t(`a whole.one`, d, s, day, yes, many, price, pair)"""
+    )
+    found = scores.column_scores(rows)
+    total, columns = rows.count(), rows.columns
+    for row in found.collect():
+        value = F.col(f"`{row.column_name}`")
+        n, distinct, valid = rows.agg(F.count(value), F.count_distinct(value), F.count_if(F.length(F.trim(value)) > 0) if row.column_name == "s" else F.count(value)).first()
+        assert (row.completeness, row.uniqueness, row.validity) == (n * 100.0 / total, distinct * 100.0 / total, valid * 100.0 / n)
+    assert [r.column_name for r in found.collect()] == columns
+    assert "Expand" not in found._jdf.queryExecution().toString()
+    empty = scores.column_scores(rows.limit(0)).collect()
+    assert [r.column_name for r in empty] == columns and {r.uniqueness for r in empty} == {0.0}
