@@ -36,8 +36,9 @@ def all_anomalies(
     if numeric:
         found.append(outliers.outlier_summary(df, outliers.outlier_tests(df, numeric), numeric))
     time = time or next((c for c in columns if has_token(c, "year", "date")), None)
-    if time and numeric:
-        found += series.series_summaries(df, [time, *[t for t in tie if t != time]], [c for c in numeric if c != time])
+    in_time = [c for c in numeric if c != time]
+    if time and in_time:
+        found.append(series.series_summaries(df, [time, *[t for t in tie if t != time]], in_time))
     latitude, longitude = coordinate_pair(columns)
     checks = rowwise.compliance_detectors(columns)
     if latitude and longitude:

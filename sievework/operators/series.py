@@ -170,20 +170,35 @@ def detector_summary(flagged: DataFrame, df: DataFrame, name: str, kind: str, co
 
 def series_summaries(
     df: DataFrame, order: list[str], values: Sequence[str], keys: list[str] | None = None, bucket_rows: int = BUCKET_ROWS
-) -> list[DataFrame]:
-    """Spike and trend summaries of every value column."""
-    keys, found = keys or [], []
-    for value in values:
-        worst = F.coalesce(F.max(F.abs("z_score")) / (2 * SPIKE_ABOVE), F.lit(0.0))
-        found.append(
-            detector_summary(spikes(df, keys, order, value, bucket_rows=bucket_rows), df, "spike_detection", "time_series_spike", value, worst, f"Time series spikes/drops in {value}")
-        )
-        filled = df.agg(F.count(value)).scalar()
-        part = F.coalesce(F.try_divide(F.count(F.lit(1)), filled), F.lit(0.0))
-        found.append(
-            detector_summary(trend_changes(df, keys, order, value, bucket_rows), df, "trend_change", "trend_change", value, part, f"Trend changes in {value}")
+) -> DataFrame:
+    """Spike and trend summaries of every value column.
+
+    The columns become series of one long frame, (column, value) under the row's order, so that each detector places and
+    scores all of them in one pass: the plan and the number of jobs stay the same however many columns there are.
+    """
+    keys, zero = keys or [], F.lit(0.0)
+    cells = [F.struct(F.lit(v).alias("_column"), F.col(v).cast("double").alias("_value")) for v in values]
+    long = df.select(*dict.fromkeys([*keys, *order]), F.inline(F.array(*cells)))
+    series_keys = [*keys, "_column"]
+    hits = F.count(F.lit(1)).alias("_hits")
+    spiked = spikes(long, series_keys, order, "_value", bucket_rows=bucket_rows).groupBy("_column").agg(hits, (F.max(F.abs("z_score")) / (2 * SPIKE_ABOVE)).alias("_worst"))
+    changed = trend_changes(long, series_keys, order, "_value", bucket_rows).groupBy("_column").agg(hits, F.lit(None).cast("double").alias("_worst"))
+    found = spiked.withColumn("_detector", F.lit("spike_detection")).unionByName(changed.withColumn("_detector", F.lit("trend_change")))
+    counted = df.agg(F.count(F.lit(1)).alias("total_count"), *[F.count(v).alias(f"_n{i}") for i, v in enumerate(values)])
+    rows = [
+        F.struct(
+            F.lit(name).alias("detector_name"), F.lit(kind).alias("anomaly_type"), F.lit(v).alias("column_name"),
+            F.lit(f"{text} in {v}").alias("description"), F.col(f"_n{i}").alias("_filled"),
         )
-    return found
+        for i, v in enumerate(values)
+        for name, kind, text in (("spike_detection", "time_series_spike", "Time series spikes/drops"), ("trend_change", "trend_change", "Trend changes"))
+    ]
+    listed = counted.select("total_count", F.inline(F.array(*rows)))
+    met = listed.join(found, (F.col("detector_name") == F.col("_detector")) & (F.col("column_name") == F.col("_column")), "left")
+    met = met.withColumn("anomaly_count", F.coalesce("_hits", F.lit(0).cast("bigint")))
+    share_of_filled = F.coalesce(F.try_divide(F.col("anomaly_count"), F.col("_filled")), zero)
+    severity = F.when(F.col("detector_name") == "spike_detection", F.coalesce("_worst", zero)).otherwise(share_of_filled)
+    return with_rate(met.withColumn("severity_score", F.least(severity, F.lit(1.0))))
 
 
 def trend(df: DataFrame, keys: list[str], order: list[str], value: str, stable_within: float = 1.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -156,15 +156,16 @@ def trend_change_one_series(spark, sf):
 
 @query(
     "series_summary",
-    f"""SELECT 'spike_detection' AS detector_name, 'time_series_spike' AS anomaly_type, 'value' AS column_name, CAST(0 AS BIGINT) AS anomaly_count, count(*) AS total_count, 0e0 AS anomaly_rate, 0e0 AS severity_score,
-      'Time series spikes/drops in value' AS description FROM events
+    _SPIKES
+    + f"""SELECT 'spike_detection' AS detector_name, 'time_series_spike' AS anomaly_type, 'value' AS column_name, hits AS anomaly_count, total AS total_count, round(hits * 100e0 / total, 6) AS anomaly_rate,
+      CASE WHEN hits > 0 THEN round(least(worst / 6, 1e0), 6) ELSE 0e0 END AS severity_score, 'Time series spikes/drops in value' AS description
+      FROM (SELECT count(*) FILTER (WHERE z > 3) AS hits, max(z) AS worst, (SELECT count(*) FROM events) AS total FROM (SELECT abs((value - m) / d) AS z FROM w WHERE pos >= 3 AND pos + 3 <= n - 1) AS y) AS x
     UNION ALL SELECT 'trend_change', 'trend_change', 'value', n, t, round(n * 100e0 / t, 6), round(n / CAST(t AS DOUBLE), 6), 'Trend changes in value'
       FROM (SELECT (SELECT count(*) FROM ({trend_sql("PARTITION BY user_id").replace("jump > 0.4", "jump > 0.8")}) AS k) AS n, (SELECT count(*) FROM events) AS t) AS c""",
 )
 def series_summary(spark, sf):
     rows = table(spark, sf, "events")
-    first, second = series.series_summaries(rows, ["ts", "event_id"], ["value"], ["user_id"])
-    return rounded(first.unionByName(second))
+    return rounded(series.series_summaries(rows, ["ts", "event_id"], ["value"], ["user_id"]))
 
 
 @query(
@@ -232,8 +233,11 @@ def dbscan_facilities(spark, sf):
     return Clustering(frame(spark, sf, FACILITIES), "latitude", "longitude", eps=0.02).noise_rows(["facility_id"]).select("facility_id")
 
 
-def clusters_sql(frame_name: str, x: str, y: str, eps: float = 0.5) -> str:
-    """Core points of one cell belong together, so the recursion goes over cells with core points within reach."""
+def clusters_sql(frame_name: str, x: str, y: str, eps: float = 0.5) -> tuple[str, str]:
+    """Tables of the clusters, and their summary row.
+
+    Core points of one cell belong together, so the recursion goes over cells with core points within reach.
+    """
     return core_sql(frame_name, x, y, eps) + f""",
       c AS MATERIALIZED (SELECT a, b, floor(a / ({eps}e0 / sqrt(2e0))) AS i, floor(b / ({eps}e0 / sqrt(2e0))) AS j FROM core),
       near AS MATERIALIZED (SELECT DISTINCT l.i, l.j, r.i AS ri, r.j AS rj FROM c AS l JOIN c AS r ON r.i BETWEEN l.i - 2 AND l.i + 2 AND r.j BETWEEN l.j - 2 AND l.j + 2
@@ -241,13 +245,13 @@ def clusters_sql(frame_name: str, x: str, y: str, eps: float = 0.5) -> str:
       reach AS (SELECT DISTINCT i, j, i AS ri, j AS rj FROM c UNION SELECT reach.i, reach.j, near.ri, near.rj FROM reach JOIN near ON near.i = reach.ri AND near.j = reach.rj),
       groups AS (SELECT count(DISTINCT first) AS n FROM (SELECT i, j, min({{'i': ri, 'j': rj}}) AS first FROM reach GROUP BY i, j) AS firsts),
       alone AS (SELECT count(*) AS n FROM {frame_name} JOIN noise ON {x} = lat AND {y} = lon),
-      whole AS (SELECT count(*) AS n, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS placed FROM {frame_name})
+      whole AS (SELECT count(*) AS n, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS placed FROM {frame_name})""", f"""
       SELECT 'geographic_clustering' AS detector_name, 'clustering_anomaly' AS anomaly_type, NULL::VARCHAR AS column_name, alone.n AS anomaly_count, whole.n AS total_count,
         round(alone.n * 100e0 / whole.n, 6) AS anomaly_rate, round(least(alone.n::DOUBLE / placed, 1e0), 6) AS severity_score,
         'Points that belong to no cluster; clusters found: ' || groups.n AS description FROM alone, whole, groups"""
 
 
-@query("dbscan_summary", cte(t=SPREAD_POINTS).replace("WITH", "WITH RECURSIVE", 1) + ", " + clusters_sql("t", "x", "y"))
+@query("dbscan_summary", cte(t=SPREAD_POINTS).replace("WITH", "WITH RECURSIVE", 1) + ", " + "".join(clusters_sql("t", "x", "y")))
 def dbscan_summary(spark, sf):
     """Noise count and number of clusters."""
     return rounded(Clustering(frame(spark, sf, SPREAD_POINTS), "x", "y").summary())
@@ -309,21 +313,122 @@ def zero_emission_rows(spark, sf):
     return detectors.flagged_rows(frame(spark, sf, MOSTLY_ZERO), [detectors.zero_emissions("few"), detectors.zero_emissions("many")], ["facility_id"])
 
 
+def row_sql(kind: str, name: str, column: str | None, hits: str, severity: str, description: str, source: str) -> str:
+    """A summary row; ``hits``, ``severity`` and ``description`` are expressions over ``source``."""
+    shown = f"'{column}'" if column else "NULL"
+    return f"""SELECT '{name}' AS detector_name, '{kind}' AS anomaly_type, {shown}::VARCHAR AS column_name, CAST({hits} AS BIGINT) AS anomaly_count, (SELECT count(*) FROM f) AS total_count,
+      {hits} * 100e0 / (SELECT count(*) FROM f) AS anomaly_rate, {severity} AS severity_score, {description} AS description FROM {source}"""
+
+
+def outlier_rows_sql(c: str) -> list[str]:
+    """The three statistical detectors; one that has too few values or no spread cannot be tested."""
+    untested = f"'{c} cannot be tested'"
+    stats = f"(SELECT count({c}) AS n, avg({c}) AS m, stddev_pop({c}) AS d, quantile_cont({c}, 0.25) AS q1, median({c}) AS mid, quantile_cont({c}, 0.75) AS q3 FROM f) AS s"
+    z = f"(SELECT n, d, coalesce(max(abs({c} - m)) / nullif(d, 0), 0) AS worst, count(*) FILTER (WHERE d > 0 AND n >= 3 AND abs(({c} - m) / d) > 3) AS hits FROM f CROSS JOIN {stats} GROUP BY n, d) AS t"
+    far = "greatest(q1 - 1.5e0 * (q3 - q1) - low, high - q3 - 1.5e0 * (q3 - q1), 0e0)"
+    iqr = f"(SELECT n, q1, q3, min({c}) AS low, max({c}) AS high, count(*) FILTER (WHERE n >= 4 AND ({c} < q1 - 1.5e0 * (q3 - q1) OR {c} > q3 + 1.5e0 * (q3 - q1))) AS hits FROM f CROSS JOIN {stats} GROUP BY n, q1, q3) AS t"
+    mad = f"(SELECT median(abs({c} - (SELECT median({c}) FROM f))) AS mad FROM f) AS a"
+    modified = f"(SELECT n, mad, coalesce(max(abs({c} - mid)) * 0.6745e0 / nullif(mad, 0), 0) AS worst, count(*) FILTER (WHERE n >= 3 AND mad > 0 AND abs(({c} - mid) * 0.6745e0 / mad) > 3.5e0) AS hits FROM f CROSS JOIN {stats} CROSS JOIN {mad} GROUP BY n, mad) AS t"
+    return [
+        row_sql("statistical_outlier", "z_score", c, "hits", "CASE WHEN n >= 3 THEN least(worst / 6, 1e0) ELSE 0e0 END", f"CASE WHEN n >= 3 AND d > 0 THEN 'Z-score outliers in {c} (threshold: 3.0)' ELSE {untested} END", z),
+        row_sql(
+            "statistical_outlier", "iqr", c, "hits", f"CASE WHEN hits > 0 THEN least(coalesce({far} / nullif(q3 - q1, 0), 5e0) / 5, 1e0) ELSE 0e0 END",
+            f"CASE WHEN n >= 4 THEN 'IQR outliers in {c} (multiplier: 1.5)' ELSE {untested} END", iqr,
+        ),
+        row_sql(
+            "statistical_outlier", "modified_z_score", c, "hits", "CASE WHEN n >= 3 THEN least(worst / 7, 1e0) ELSE 0e0 END",
+            f"CASE WHEN n >= 3 AND mad > 0 THEN 'Modified Z-score outliers in {c}' ELSE {untested} END", modified,
+        ),
+    ]
+
+
+def series_rows_sql(c: str, order: str) -> list[str]:
+    """Spikes and trend changes of one long series (at least 21 values, so that every window has its full length)."""
+    near = f"""(SELECT {c} AS v, row_number() OVER (ORDER BY {order}) - 1 AS pos, count(*) OVER () AS n, avg({c}) OVER w AS m, stddev_samp({c}) OVER w AS d, min({c}) OVER w AS low, max({c}) OVER w AS high
+      FROM f WHERE {c} IS NOT NULL WINDOW w AS (ORDER BY {order} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"""
+    spikes = f"(SELECT count(*) FILTER (WHERE z > 3) AS hits, max(z) FILTER (WHERE z > 3) AS worst FROM (SELECT abs((v - m) / d) AS z FROM {near} AS x WHERE pos >= 3 AND pos + 3 < n AND high > low) AS y) AS t"
+    placed = f"(SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {order}) - 1 AS pos, count(*) OVER () AS n FROM f WHERE {c} IS NOT NULL)"
+    judged = f"""(SELECT r, pos FROM (SELECT pos, n, corr(v, CAST(pos AS DOUBLE)) OVER w AS r, min(v) OVER w AS low, max(v) OVER w AS high FROM {placed} AS p
+      WINDOW w AS (ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)) AS q WHERE pos >= 10 AND pos < n - 10 AND high > low)"""
+    trends = f"(SELECT count(*) FILTER (WHERE jump > 0.8e0) AS hits, (SELECT count({c}) FROM f) AS n FROM (SELECT abs(r - lag(r) OVER (ORDER BY pos)) AS jump FROM {judged} AS j) AS k) AS t"
+    return [
+        row_sql("time_series_spike", "spike_detection", c, "hits", "CASE WHEN hits > 0 THEN least(worst / 6, 1e0) ELSE 0e0 END", f"'Time series spikes/drops in {c}'", spikes),
+        row_sql("trend_change", "trend_change", c, "hits", "least(coalesce(hits / CAST(nullif(n, 0) AS DOUBLE), 0e0), 1e0)", f"'Trend changes in {c}'", trends),
+    ]
+
+
+def detector_row_sql(kind: str, name: str, column: str | None, hit: str, base: str, description: str, scale: int = 1, gate: float | None = None) -> str:
+    """A detector over single rows; severity is the share of the rows looked at, nothing is reported below the gate."""
+    counted = f"(SELECT count(*) FILTER (WHERE ({base}) AND ({hit})) AS found, count(*) FILTER (WHERE {base}) AS base FROM f)"
+    shown = f"found > base * {gate}" if gate is not None else "true"
+    source = f"(SELECT CASE WHEN {shown} THEN found ELSE 0 END AS hits, base FROM {counted} AS c) AS t"
+    return row_sql(kind, name, column, "hits", f"least(coalesce(hits / CAST(nullif(base, 0) AS DOUBLE), 0e0) * {scale}, 1e0)", f"'{description}'", source)
+
+
+_PLACES = "length(rtrim(split_part(CAST({} AS VARCHAR), '.', 2), '0'))"
+_CHECKED = (
+    "latitude", "longitude", "epa_region", "annual_emission_amount", "ph_level", "measurement_year", "compliance_violations", "violation_count", "inspection_count", "penalty_amount",
+    "data_quality_score",
+)
+_LOCATED = "latitude IS NOT NULL AND longitude IS NOT NULL"
+_CLUSTERS = clusters_sql("f", "latitude", "longitude")
+_EVERY_ROW = [
+    *[part for c in _CHECKED for part in outlier_rows_sql(c)],
+    *[part for c in _CHECKED if c != "measurement_year" for part in series_rows_sql(c, "measurement_year, facility_id")],
+    detector_row_sql(
+        "geographic_impossible", "impossible_locations", None,
+        f"latitude < -90 OR latitude > 90 OR longitude < -180 OR longitude > 180 OR (latitude = longitude AND abs(latitude) < 1) OR {_PLACES.format('latitude')} > 8",
+        _LOCATED, "Points outside the globe or at a placeholder position",
+    ),
+    detector_row_sql(
+        "precision_anomaly", "coordinate_precision", None, f"({_PLACES.format('latitude')} < 3 AND latitude <> 0) OR longitude <> 0", _LOCATED,
+        "Points given with too few decimals", scale=2,
+    ),
+    detector_row_sql("compliance_anomaly", "violations_without_inspections", None, "violation_count > 0 AND inspection_count = 0", "true", "Violations on record, yet nobody inspected"),
+    detector_row_sql("compliance_anomaly", "excessive_penalties", "penalty_amount", "penalty_amount > 1000000", "penalty_amount IS NOT NULL", "Penalties above one million dollars"),
+    detector_row_sql(
+        "compliance_anomaly", "compliance_inconsistencies", None,
+        """(violation_count > 0 AND upper(compliance_status) IN ('COMPLIANT', 'GOOD', 'CLEAN')) OR (violation_count = 0 AND upper(compliance_status) IN ('NON-COMPLIANT', 'VIOLATION', 'SNC'))""",
+        "true", "Status and number of violations contradict each other",
+    ),
+    detector_row_sql(
+        "emission_anomaly", "zero_emissions", "annual_emission_amount", "annual_emission_amount <= 0.001e0", "annual_emission_amount IS NOT NULL",
+        "Unusually many emissions at or near zero", scale=2, gate=0.5,
+    ),
+]
+_FACILITY_ANOMALIES = (
+    cte(f=FACILITIES).replace("WITH", "WITH RECURSIVE", 1).replace(" AS (", " AS MATERIALIZED (", 1) + ", " + _CLUSTERS[0] + _CLUSTERS[1] + "".join(f" UNION ALL {part}" for part in _EVERY_ROW)
+)
+
+
 def anomalies_of(spark, sf):
     return settle(anomalies.all_anomalies(frame(spark, sf, FACILITIES), ["facility_id"]))
 
 
-@query("all_anomalies")
+@query(
+    "all_anomalies",
+    f"""SELECT detector_name, anomaly_type, column_name, anomaly_count, total_count, round(anomaly_rate, 6) AS anomaly_rate, round(severity_score, 6) AS severity_score, description
+      FROM ({_FACILITY_ANOMALIES}) AS a""",
+)
 def all_anomalies(spark, sf):
     return rounded(anomalies_of(spark, sf))
 
 
-@query("anomaly_summary")
+@query(
+    "anomaly_summary",
+    f"""SELECT total_detectors, detectors_with_anomalies, records_analyzed, anomalies_found, round(average_severity, 6) AS average_severity, round(anomalies_found * 100e0 / records_analyzed, 6) AS overall_anomaly_rate
+      FROM (SELECT count(*) AS total_detectors, count(*) FILTER (WHERE anomaly_count > 0) AS detectors_with_anomalies, CAST(floor(sum(total_count) / count(*)) AS BIGINT) AS records_analyzed,
+        CAST(sum(anomaly_count) AS BIGINT) AS anomalies_found, coalesce(avg(severity_score) FILTER (WHERE severity_score > 0), 0) AS average_severity FROM ({_FACILITY_ANOMALIES}) AS a) AS s""",
+)
 def anomaly_summary(spark, sf):
     return rounded(anomalies.anomaly_summary(anomalies_of(spark, sf)))
 
 
-@query("anomalies_by_type")
+@query(
+    "anomalies_by_type",
+    f"""SELECT anomaly_type, count(*) AS detectors, CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies, count(*) FILTER (WHERE severity_score > 0.7e0) AS high_severity
+      FROM ({_FACILITY_ANOMALIES}) AS a GROUP BY anomaly_type""",
+)
 def anomalies_by_type(spark, sf):
     found = anomalies_of(spark, sf)
     severe = anomalies.high_severity(found).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("high_severity"))

@@ -149,7 +149,11 @@ def qa_status(spark, sf):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("gate_message"))
 
 
-@query("comprehensive_qa")
+@query(
+    "comprehensive_qa",
+    f"""SELECT finding_type, severity, count(*) AS findings
+      FROM ({rule_findings_sql("facilities", _FACILITY_RESULTS)} UNION ALL {anomaly_findings_sql("facilities", SQL["all_anomalies"])}) AS x GROUP BY finding_type, severity""",
+)
 def comprehensive_qa(spark, sf):
     """Every rule and every detector of one table, counted per severity."""
     run = checkpoint.comprehensive(frame(spark, sf, FACILITIES), "facilities", "facilities", AS_OF, ["facility_id"])
