@@ -67,6 +67,25 @@ def extract_warnings(spark, sf):
     return delimited.sanity_counts(frame(spark, sf, RAW_FACILITIES), source("echo_facilities"), AS_OF.year)
 
 
+_DECLARED = source("echo_facilities")
+_EXPECTED = ", ".join(f"('{c}', {str(c in _DECLARED.required).lower()})" for c in dict.fromkeys([*_DECLARED.columns, *_DECLARED.required]))
+
+
+@query(
+    "extract_structure",
+    f"""WITH present AS (SELECT column_name FROM (DESCRIBE SELECT * FROM ({RAW_FACILITIES}) AS t) UNION ALL SELECT name FROM pragma_table_info('customer') WHERE name = 'c_mktsegment'),
+    expected AS (SELECT * FROM (VALUES {_EXPECTED}) AS v(column_name, required))
+    SELECT 'missing_required' AS issue, 'ERROR' AS level, column_name FROM expected WHERE required AND column_name NOT IN (SELECT column_name FROM present)
+    UNION ALL SELECT 'missing_expected', 'WARNING', column_name FROM expected WHERE column_name NOT IN (SELECT column_name FROM present)
+    UNION ALL SELECT 'extra_column', 'WARNING', column_name FROM present WHERE column_name NOT IN (SELECT column_name FROM expected)""",
+)
+def extract_structure(spark, sf):
+    """The header of a written extract against the declared columns; one column is none of the source's."""
+    path = written(spark, sf, RAW_FACILITIES.replace("FROM customer", ", c_mktsegment FROM customer"))
+    config = source("echo_facilities")
+    return delimited.structure_issues(spark, delimited.header_of(spark, path, config), config)
+
+
 @query("extract_sample", "SELECT CAST(least(count(*), 500) AS BIGINT) AS sampled_rows FROM orders")
 def extract_sample(spark, sf):
     """The sampling sink: how many rows come, any of them."""
