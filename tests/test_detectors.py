@@ -225,3 +225,22 @@ def test_all_detectors_of_a_table(spark):
     counts = {r.detector_name: r.anomaly_count for r in found}
     assert counts["excessive_penalties"] == counts["compliance_inconsistencies"] == counts["violations_without_inspections"] == 60
     assert {"z_score", "iqr", "modified_z_score", "spike_detection", "trend_change", "impossible_locations", "coordinate_precision", "geographic_clustering", "zero_emissions", "emission_spikes"} <= set(counts)
+
+
+def test_series_summaries_of_many_columns_equal_those_of_each_column(spark):
+    rows = spark.range(90).select(
+        F.col("id"), (F.col("id") % 2).alias("site"), F.when(F.col("id") % 7 > 0, F.sin(F.col("id") * 1.7) * 10).alias("wave"),
+        F.when(F.col("id") < 40, F.col("id")).otherwise(90 - F.col("id")).alias("turn"), F.lit(3).alias("flat"), F.lit(None).cast("double").alias("none"),
+    )
+    columns = ["wave", "turn", "flat", "none", "id"]
+    for keys in ([], ["site"]):
+        together = series.series_summaries(rows, ["id"], columns, keys).collect()
+        single = {(r.column_name, r.detector_name): r for r in together}
+        assert len(together) == len(single) == 2 * len(columns)
+        for c in columns:
+            spikes, changes = series.spikes(rows, keys, ["id"], c).count(), series.trend_changes(rows, keys, ["id"], c).count()
+            assert (single[c, "spike_detection"].anomaly_count, single[c, "trend_change"].anomaly_count) == (spikes, changes)
+            filled = rows.filter(F.col(c).isNotNull()).count()
+            assert single[c, "trend_change"].severity_score == (changes / filled if filled else 0.0)
+            assert single[c, "spike_detection"].total_count == 90
+        assert sum(r.anomaly_count for r in together) > 0
