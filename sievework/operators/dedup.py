@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +28,19 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def keep_first_totalled(df: DataFrame, keys: list[str], order: list, totals: dict[str, Column]) -> DataFrame:
+    """As :func:`keep_first`, and every kept row carries sums over all rows of its key.
+
+    One aggregate does both, so measures of all rows and the rows that stay come from one scan and one
+    shuffle; a key with a third of all rows still sends one row per task.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    kept = df.groupBy(*[F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(
+        F.min_by(row, F.struct(*order)).alias("_kept"), *[F.sum(value).alias(name) for name, value in totals.items()]
+    )
+    return kept.select("_kept.*", *totals)
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return keep_first(df, keys, [F.col(c).desc() for c in order])
 

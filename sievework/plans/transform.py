@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.scoring import share
 from sievework.operators import cleaning
-from sievework.operators.dedup import natural_keys, remove_duplicates
+from sievework.operators.dedup import keep_first_totalled, natural_keys, remove_duplicates
 from sievework.sources.catalog import Source
 from sievework.sources.delimited import ORDER_COLUMNS
 from sievework.sources.tables import stable_key
@@ -79,24 +79,26 @@ def transform_stats(raw: DataFrame, source: Source, as_of: datetime) -> DataFram
     """One row: input and output rows, duplicates, flagged rows, retention, completeness before and
     after. The completeness after is measured, not estimated.
 
-    Nothing before the duplicate removal adds or drops rows, so one scan gives all input measures.
+    One scan and one shuffle of rows: the aggregate that removes duplicates also adds up, into the row that stays, the
+    rows, filled cells and marks of all rows of its key.  (Metrics observed while a run writes would count
+    a map task again whose executor is lost; an aggregate does not.)
     """
     content = [c for c in raw.columns if not c.startswith("_")]
     filled = reduce(add, [F.col(f"`{c}`").isNotNull().cast("int") for c in content])
     ready = before_dedup(raw.withColumn("_cells", filled), source)
-    out = transform(raw, source, as_of)
-    before = ready.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.coalesce(F.try_divide(F.sum("_cells").cast("double"), F.count(F.lit(1)) * len(content)), F.lit(0.0)).alias("filled"),
-            (F.count_if(F.col(cleaning.MISSING_REQUIRED)) + F.count_if(F.col(cleaning.INVALID_COORDINATES))).alias("flagged"),
-        ).alias("s")
-    ).scalar()
-    row = out.agg(F.count(F.lit(1)).alias("output_rows"), filled_share(out, out.columns).alias("completeness_after"))
-    row = row.select(
-        F.lit(source.name).alias("source_name"), before["n"].alias("input_rows"), "output_rows",
-        before["flagged"].alias("rows_flagged"), before["filled"].alias("completeness_before"), "completeness_after",
-    )
+    marks = F.col(cleaning.MISSING_REQUIRED).cast("int") + F.col(cleaning.INVALID_COORDINATES).cast("int")
+    totals = {"_rows_in": F.lit(1), "_cells_in": F.col("_cells"), "_marks_in": marks}
+    # Without a key only rows equal in all columns are duplicates, so any of them stays.
+    keys = row_keys(ready, source) or [c for c in ready.columns if c != "_cells"]
+    kept = keep_first_totalled(ready, keys, order_of(ready) or keys, totals)
+    out = after_dedup(kept, source, as_of).drop(*ORDER_COLUMNS)
+    measured = [c for c in out.columns if c not in totals and c != "_cells"]
+    rows_in = F.coalesce(F.sum("_rows_in"), F.lit(0))
+    row = out.agg(
+        rows_in.alias("input_rows"), F.count(F.lit(1)).alias("output_rows"), F.coalesce(F.sum("_marks_in"), F.lit(0)).alias("rows_flagged"),
+        F.coalesce(F.try_divide(F.sum("_cells_in").cast("double"), rows_in * len(content)), F.lit(0.0)).alias("completeness_before"),
+        filled_share(out, measured).alias("completeness_after"),
+    ).select(F.lit(source.name).alias("source_name"), "*")
     return row.withColumns(
         {
             "duplicates_removed": F.col("input_rows") - F.col("output_rows"),

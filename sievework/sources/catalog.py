@@ -169,10 +169,32 @@ SOURCES: dict[str, Source] = {
     )
 }
 
+# Not one of the five extracts: rows of facility, programme and period, as a user may derive or receive them.
+COMPLIANCE_HISTORY = Source(
+    name="compliance_history",
+    title="COMPLIANCE_HISTORY",
+    staging_table="compliance_history",
+    columns=(
+        "REGISTRY_ID", "PROGRAM_TYPE", "COMPLIANCE_YEAR", "COMPLIANCE_QUARTER", "INSPECTION_COUNT", "LAST_INSPECTION_DATE",
+        "INFORMAL_ACTION_COUNT", "FORMAL_ACTION_COUNT", "LAST_FORMAL_ACTION_DATE", "TOTAL_PENALTIES", "PENALTY_COUNT", "LAST_PENALTY_DATE",
+        "LAST_PENALTY_AMOUNT", "QUARTERS_WITH_NONCOMPLIANCE", "HAS_SIGNIFICANT_NONCOMPLIANCE", "OVERALL_COMPLIANCE_STATUS",
+    ),
+    row_key=("REGISTRY_ID", "PROGRAM_TYPE", "COMPLIANCE_YEAR", "COMPLIANCE_QUARTER"),
+    required=("REGISTRY_ID", "PROGRAM_TYPE", "COMPLIANCE_YEAR"),
+    types={
+        "REGISTRY_ID": "identifier", "COMPLIANCE_YEAR": "integer", "COMPLIANCE_QUARTER": "integer", "INSPECTION_COUNT": "integer",
+        "INFORMAL_ACTION_COUNT": "integer", "FORMAL_ACTION_COUNT": "integer", "TOTAL_PENALTIES": "numeric", "PENALTY_COUNT": "integer",
+        "LAST_PENALTY_AMOUNT": "numeric", "QUARTERS_WITH_NONCOMPLIANCE": "integer",
+    },
+    dates=("LAST_INSPECTION_DATE", "LAST_FORMAL_ACTION_DATE", "LAST_PENALTY_DATE"),
+)
+
 LOAD_ORDER = ("icis_facilities", "npdes_measurements", "icis_permits", "air_emissions", "echo_facilities")
 
 
 def source(name: str) -> Source:
+    if name == COMPLIANCE_HISTORY.name:
+        return COMPLIANCE_HISTORY
     try:
         return SOURCES[name]
     except KeyError:
@@ -183,7 +205,9 @@ def source(name: str) -> Source:
 class CoreTable:
     """Target table: where its columns come from and which keys it has.
 
-    ``unique`` is the key an upsert matches on.  ``yearqtr`` maps to two columns.
+    ``unique`` is the key an upsert matches on.  ``yearqtr`` maps to two columns.  A table with ``open_key``
+    columns takes rows that leave these null (a whole year without quarter), once per key, and refuses rows that
+    leave other parts of the key null.
     """
 
     name: str
@@ -194,6 +218,7 @@ class CoreTable:
     mapping: dict[str, str | tuple[str, str]]
     foreign: dict[str, tuple[str, str]] = field(default_factory=dict)  # column -> (table, lookup key)
     partition_by: tuple[str, ...] = ()
+    open_key: tuple[str, ...] = ()
 
 
 # Staging column -> core column.
@@ -283,10 +308,18 @@ CORE_TABLES: dict[str, CoreTable] = {
                 )
             },
             foreign={"facility_id": ("facilities", "registry_id")},
+            partition_by=("compliance_year",),
+            open_key=("compliance_quarter",),
         ),
     )
 }
 
+# Columns of the ICIS facilities in terms of the facility master.
+ICIS_TO_FACILITIES = {
+    "facility_name": "facility_name", "location_address": "street_address", "city": "city", "county_code": "county",
+    "state_code": "state_code", "zip": "zip_code", "geocode_latitude": "latitude", "geocode_longitude": "longitude",
+}
+
 CORE_LOAD_ORDER = ("facilities", "permits", "air_emissions", "water_measurements", "compliance_history")
 
 

@@ -223,6 +223,62 @@ def core_load(spark, sf):
     return rounded(loaded.agg(F.count(F.lit(1)).alias("rows"), F.count("facility_id").alias("with_facility"), F.sum("annual_emission_amount").alias("emission")), 2)
 
 
+# Every supplier as an ICIS site: the even ones under the registry id of a customer, some of those left out by ECHO.
+ICIS_SITES = """
+SELECT CAST(s_suppkey AS STRING) AS ICIS_FACILITY_INTEREST_ID, concat('TX', CAST(1000000 + s_suppkey AS STRING)) AS NPDES_ID,
+       CAST(CASE WHEN s_suppkey % 2 = 0 THEN 110000000000 ELSE 120000000000 END + s_suppkey AS STRING) AS FACILITY_UIN, s_name AS FACILITY_NAME, 'TOWN' AS CITY, 'TX' AS STATE_CODE,
+       '31.5' AS GEOCODE_LATITUDE, '-96.5' AS GEOCODE_LONGITUDE FROM supplier
+"""
+
+
+@query(
+    "core_masters",
+    """WITH e AS (SELECT 110000000000 + c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING'),
+    i AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 110000000000 ELSE 120000000000 END + s_suppkey AS id, true AS water FROM supplier),
+    m AS (SELECT e.id IS NOT NULL AS echo, i.id IS NOT NULL AS icis, coalesce(i.water, false) AS water FROM e FULL OUTER JOIN i ON e.id = i.id)
+    SELECT CASE WHEN echo THEN '30.12345' ELSE '31.5' END AS latitude, icis AS has_city, water AS has_water_permits, echo AS is_active, count(*) AS sites, count(*) AS keys FROM m GROUP BY ALL""",
+)
+def core_masters(spark, sf):
+    """ICIS sites and ECHO facilities in one master: ECHO's values first, open ones from ICIS, sites that only one knows."""
+    tables = Tables(spark, scratch(spark))
+    load.load_source(spark, tables, frame(spark, sf, ICIS_SITES), source("icis_facilities"), 1, AS_OF)
+    load.load_source(spark, tables, frame(spark, sf, SITES), source("echo_facilities"), 2, AS_OF)
+    masters = tables.read("facilities").select(
+        F.col("latitude").cast("string").alias("latitude"), F.col("city").isNotNull().alias("has_city"),
+        F.coalesce("has_water_permits", F.lit(False)).alias("has_water_permits"),
+        F.coalesce("is_active", F.lit(False)).alias("is_active"), "facility_id",
+    )
+    return masters.groupBy("latitude", "has_city", "has_water_permits", "is_active").agg(F.count(F.lit(1)).alias("sites"), F.count_distinct("facility_id").alias("keys"))
+
+
+# A year of a customer's orders is a compliance period; every order comes again and urgent ones tell no quarter.
+PERIODS = """
+SELECT CAST(110000000000 + o_custkey AS STRING) AS REGISTRY_ID, 'WATER' AS PROGRAM_TYPE, CAST(year(o_orderdate) AS STRING) AS COMPLIANCE_YEAR,
+       CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(quarter(o_orderdate) AS STRING) END AS COMPLIANCE_QUARTER, '2' AS INSPECTION_COUNT, CAST(o_orderdate AS STRING) AS LAST_INSPECTION_DATE,
+       'Y' AS HAS_SIGNIFICANT_NONCOMPLIANCE FROM orders
+"""
+
+
+@query(
+    "core_compliance_history",
+    """SELECT DISTINCT o_custkey + 110000000000 AS registry_id, year(o_orderdate) AS y, CASE WHEN o_orderpriority <> '1-URGENT' THEN quarter(o_orderdate) END AS q
+    FROM orders JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING'""".join(
+        ("SELECT CAST(y AS BIGINT) AS compliance_year, CAST(q AS BIGINT) AS compliance_quarter, count(*) AS rows, CAST(2 * count(*) AS BIGINT) AS inspections FROM (", ") AS d GROUP BY 1, 2")
+    ),
+)
+def core_compliance_history(spark, sf):
+    """Periods of facilities upserted twice: one row for each facility, programme, year and quarter, those without a quarter too.
+
+    Periods of unknown facilities are refused.
+    """
+    tables = Tables(spark, scratch(spark))
+    load.load_source(spark, tables, frame(spark, sf, SITES), source("echo_facilities"), 1, AS_OF)
+    for batch in (2, 3):
+        load.load_source(spark, tables, frame(spark, sf, PERIODS), source("compliance_history"), batch, AS_OF)
+    rows = tables.read("compliance_history").groupBy(*[F.col(c).cast("bigint").alias(c) for c in ("compliance_year", "compliance_quarter")])
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("inspection_count").cast("bigint").alias("inspections"))
+
+
 @query(
     "load_lineage",
     """SELECT u.s AS source_column, u.t AS target_column, u.k AS transformation_type, n AS source_record_count, n AS target_record_count FROM (SELECT 3 * count(*) AS n FROM orders) AS c CROSS JOIN

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.plans import load
+from sievework.plans import transform as transforming
 from sievework.sources import catalog, delimited, export, runlog, tables as stored
 from sievework.sources.catalog import source
 from sievework.sources.tables import Tables
@@ -252,3 +253,49 @@ def test_load_again_doubles_nothing(spark, tables):
     assert tables.read("etl_run_log").count() == 2 and tables.read("water_measurements").count() == 1
     lineage = tables.read("data_lineage")
     assert lineage.count() == lineage.select("source_column", "target_column").distinct().count()
+
+
+ECHO = "REGISTRY_ID string, FAC_NAME string, FAC_STATE string, FAC_EPA_REGION string, FAC_CITY string, NPDES_FLAG string"
+ICIS = "NPDES_ID string, FACILITY_UIN string, FACILITY_NAME string, STATE_CODE string, CITY string, ZIP string"
+
+
+@pytest.mark.parametrize("first", ["echo_facilities", "icis_facilities"])
+def test_masters_of_two_sources(spark, tables, first):
+    """Whichever source comes first, ECHO's values stay and ICIS fills in; sites without UIN stay in staging."""
+    rows = {
+        "echo_facilities": spark.createDataFrame([("110000000001", "A", "TX", "6", None, "N"), ("110000000002", "B", "TX", "6", "WACO", None)], ECHO),
+        "icis_facilities": spark.createDataFrame(
+            [("TX0000001", "110000000001", "OTHER", "TX", "AUSTIN", "78701"), (None, "110000000003", "C", "TX", None, None), ("TX0000004", None, "D", "TX", None, None)], ICIS
+        ),
+    }
+    order = [first, *[name for name in rows if name != first]]
+    for batch, name in enumerate([*order, first], start=1):
+        load.load_source(spark, tables, rows[name], source(name), batch, AS_OF)
+    found = tables.read("facilities").collect()
+    assert sorted((int(r.registry_id), r.facility_name, r.city, r.zip_code, bool(r.has_water_permits)) for r in found) == [
+        (110000000001, "A", "AUSTIN", "78701", True), (110000000002, "B", "WACO", None, False), (110000000003, "C", None, None, False),
+    ]
+    assert len({r.facility_id for r in found}) == 3 and tables.read("icis_facilities", "staging").count() >= 3
+
+
+def test_compliance_history_once_per_period(spark, tables):
+    facilities = spark.createDataFrame([("110000000001", "A", "TX", "6", None, "N"), ("110000000002", "B", "TX", "6", None, "N")], ECHO)
+    load.load_source(spark, tables, facilities, source("echo_facilities"), 1, AS_OF)
+    columns = "REGISTRY_ID string, PROGRAM_TYPE string, COMPLIANCE_YEAR string, COMPLIANCE_QUARTER string, TOTAL_PENALTIES string"
+    for batch, amount in ((2, "5"), (3, "7")):
+        periods = [("110000000001", "WATER", "2020", "1", amount), ("110000000002", "WATER", "2020", "1", "1"), ("110000000001", "WATER", "2020", None, amount),
+                   ("110000000009", "WATER", "2020", "1", "9"), ("110000000001", "AIR", None, "1", "9"), (None, "AIR", "2020", "1", "9")]
+        load.load_source(spark, tables, spark.createDataFrame(periods, columns), source("compliance_history"), batch, AS_OF)
+    rows = [(int(r.registry_id), r.compliance_quarter, r.total_penalties) for r in tables.read("compliance_history").collect()]
+    assert sorted(rows, key=repr) == [(110000000001, 1, 7.0), (110000000001, None, 7.0), (110000000002, 1, 1.0)]
+
+
+def test_transform_stats_in_one_scan(spark):
+    """Counts of all rows come with the rows that stay; the plan reads its input once."""
+    raw = spark.createDataFrame([("AK1", "20231", "S", "1")] * 3 + [("AK2", "20231", "S", None), (None, "20231", "S", "1")], "NPDES_ID string, YEARQTR string, HLRNC string, NUME90Q string")
+    stats = transforming.transform_stats(raw, source("npdes_measurements"), AS_OF)
+    row = stats.first()
+    assert (row.input_rows, row.output_rows, row.duplicates_removed, row.rows_flagged, row.completeness_before) == (5, 3, 2, 1, 18 / 20)
+    assert stats._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 2  # one, shown again as the initial plan
+    empty = transforming.transform_stats(raw.limit(0), source("npdes_measurements"), AS_OF).first()
+    assert (empty.input_rows, empty.output_rows, empty.rows_flagged, empty.completeness_before) == (0, 0, 0, 0.0)
